@@ -113,31 +113,42 @@ def has_value_triples(rows: DataFrame, has_value: Stored) -> DataFrame:
     return types_of(rows).join(side, "o").select("s", F.col("q").alias("p"), F.col("d").alias("o"))
 
 
-def some_values_types(links: DataFrame, members: DataFrame, some_values: Stored) -> DataFrame:
-    """rdfp15: who has a value of the class is in the restriction."""
+def _as_is(df: DataFrame, fan_out: int = 1) -> DataFrame:
+    return df
+
+
+def some_values_types(links: DataFrame, members: DataFrame, some_values: Stored,
+                      links_side=_as_is, members_side=_as_is) -> DataFrame:
+    """rdfp15: who has a value of the class is in the restriction.
+
+    The ``_side`` functions say how rows made from either input enter the join.
+    """
     wanted = some_values.side(some_values.df.select("p", "d", "r"))
     asking = links.join(wanted, "p").select("s", F.col("o").alias("a"), "d", "r")
     fillers = some_values.side(some_values.df.select(F.col("d").alias("o")).distinct())
     found = types_of(members).join(fillers, "o", "left_semi").select(
         F.col("s").alias("a"), F.col("o").alias("d"))
-    return asking.join(found, ["a", "d"]).select("s", F.lit(t.TYPE).alias("p"), F.col("r").alias("o"))
+    return links_side(asking, some_values.rows).join(members_side(found), ["a", "d"]).select("s", F.lit(t.TYPE).alias("p"), F.col("r").alias("o"))
 
 
-def all_values_types(links: DataFrame, members: DataFrame, all_values: Stored) -> DataFrame:
+def all_values_types(links: DataFrame, members: DataFrame, all_values: Stored,
+                     links_side=_as_is, members_side=_as_is) -> DataFrame:
     """rdfp16: every value of a restriction's member is in the class."""
     wanted = all_values.side(all_values.df.select("p", "d", "r"))
     asking = links.where(~is_literal(F.col("o"))).join(wanted, "p").select("s", "o", "d", "r")
     owners = all_values.side(all_values.df.select(F.col("r").alias("o")).distinct())
     found = types_of(members).join(owners, "o", "left_semi").select("s", F.col("o").alias("r"))
-    return asking.join(found, ["s", "r"]).select(
+    return links_side(asking, all_values.rows).join(members_side(found), ["s", "r"]).select(
         F.col("o").alias("s"), F.lit(t.TYPE).alias("p"), F.col("d").alias("o"))
 
 
-def transitive_triples(first: DataFrame, second: DataFrame, transitive: Stored) -> DataFrame:
+def transitive_triples(first: DataFrame, second: DataFrame, transitive: Stored,
+                       first_side=_as_is, second_side=_as_is) -> DataFrame:
     """rdfp4, every property on its own."""
     side = transitive.side()
     return compose(
-        first.join(side, "p", "left_semi"), second.join(side, "p", "left_semi"), ["p"]
+        first_side(first.join(side, "p", "left_semi")),
+        second_side(second.join(side, "p", "left_semi")), ["p"],
     ).select(*TRIPLE)
 
 
@@ -174,7 +185,7 @@ def inverse_functional_pairs(graph: DataFrame, inverse_functional: Stored) -> Da
 
 def equivalences(hierarchy: Hierarchy) -> DataFrame:
     """rdfp12c and 13c: what lies below each other is equivalent."""
-    table = hierarchy.table
+    table = hierarchy.table.where(F.col("g").isin(t.SUB_CLASS, t.SUB_PROPERTY))
     back = table.select("g", F.col("s").alias("o"), F.col("o").alias("s"))
     mutual = table.join(back, ["g", "s", "o"], "left_semi")
     return mutual.select(
@@ -211,14 +222,17 @@ def instance_step(facts: FactTable, terms: Terminology) -> list[DataFrame]:
     if not terms.has_value.empty:
         parts += [has_value_types(new, terms.has_value), has_value_triples(new, terms.has_value)]
     # Rules over two instance triples: the new one may be either of them.
-    pairings = [(known, known)] if facts.first_round else [(new, known), (known, new)]
-    for first, second in pairings:
+    if facts.first_round:
+        pairings = [(known, known, _as_is, _as_is)]
+    else:
+        pairings = [(new, known, facts.delta_side, _as_is), (known, new, _as_is, facts.delta_side)]
+    for pairing in pairings:
         if not terms.some_values.empty:
-            parts.append(some_values_types(first, second, terms.some_values))
+            parts.append(some_values_types(*pairing[:2], terms.some_values, *pairing[2:]))
         if not terms.all_values.empty:
-            parts.append(all_values_types(first, second, terms.all_values))
+            parts.append(all_values_types(*pairing[:2], terms.all_values, *pairing[2:]))
         if not terms.transitive.empty:
-            parts.append(transitive_triples(first, second, terms.transitive))
+            parts.append(transitive_triples(*pairing[:2], terms.transitive, *pairing[2:]))
     return parts
 
 
@@ -243,7 +257,7 @@ def materialize_owl_horst(graph: DataFrame, reflexive: bool = False,
     def step(table: FactTable) -> DataFrame | None:
         if not table.first_round and not table.delta.where(is_schema()).isEmpty():
             state["terms"] = read_terminology(table.known)
-            return union_all(instance_step(_replayed(table), state["terms"])
+            return union_all(instance_step(AllNew(table), state["terms"])
                              + [schema_entailments(state["terms"])])
         parts = instance_step(table, state["terms"])
         return union_all(parts) if parts else None
@@ -258,15 +272,13 @@ def materialize_owl_horst(graph: DataFrame, reflexive: bool = False,
     return facts.known
 
 
-class _Replay:
+class AllNew:
     """A fact table seen as if all of its rows were new."""
 
+    delta_side = staticmethod(_as_is)
+
     first_round = True
 
     def __init__(self, table: FactTable):
         self.delta = table.known
         self.known = table.known
-
-
-def _replayed(table: FactTable) -> _Replay:
-    return _Replay(table)

@@ -147,9 +147,12 @@ class FactTable:
     def first_round(self) -> bool:
         return self.rounds == 1
 
-    def delta_side(self, df: DataFrame) -> DataFrame:
-        """A selection of the last round's rows as a join side, broadcast when counted as few."""
-        return F.broadcast(df) if self.delta_rows <= BROADCAST_ROWS else df
+    def delta_side(self, df: DataFrame, fan_out: int = 1) -> DataFrame:
+        """Rows made from the last round's, at most ``fan_out`` from each, as a join side.
+
+        Broadcast when the counted rows allow it; otherwise left to a shuffled join.
+        """
+        return F.broadcast(df) if self.delta_rows * fan_out <= BROADCAST_ROWS else df
 
     def append(self, candidates: DataFrame) -> int:
         """Write the candidates that are new as the next round; returns how many there were."""
