@@ -220,6 +220,9 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
         _rows(supplier.where("s_acctbal < -900"), maker, t.SUB_CLASS, F.lit(t.NOTHING)),
         _rows(seats, seat_node, t.ON_PROPERTY, F.lit(ex("seatedIn"))),
         _rows(seats, seat_node, t.SOME_VALUES, seat),
+        _rows(part.select("p_size").distinct(), size, t.SUB_CLASS, _node("stored/", "p_size")),
+        _rows(part.select("p_size").distinct(), _node("stored/", "p_size"), t.ON_PROPERTY, F.lit(ex("storedIn"))),
+        _rows(part.select("p_size").distinct(), _node("stored/", "p_size"), t.SOME_VALUES, _node("Hall/", "p_size")),
         _rows(nation, _node("N/", "n_nationkey"), t.SUB_CLASS, _node("R/", "n_regionkey")),
         _rows(nation.select("n_regionkey").distinct(), _node("R/", "n_regionkey"), t.SUB_CLASS, F.lit(ex("Region"))),
         _rows(supplier, _node("from/", "s_suppkey"), t.SUB_PROPERTY, _node("fromNation/", "s_nationkey")),

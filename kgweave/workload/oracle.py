@@ -115,6 +115,9 @@ CATALOG_SQL = " UNION ALL ".join([
     rows("supplier", node("S/", "s_suppkey"), t.SUB_CLASS, q(t.NOTHING), "s_acctbal < -900"),
     rows("supplier", node("seat/", "s_nationkey"), t.ON_PROPERTY, ex("seatedIn"), distinct=True),
     rows("supplier", node("seat/", "s_nationkey"), t.SOME_VALUES, node("N/", "s_nationkey"), distinct=True),
+    rows("part", _Z, t.SUB_CLASS, node("stored/", "p_size"), distinct=True),
+    rows("part", node("stored/", "p_size"), t.ON_PROPERTY, ex("storedIn"), distinct=True),
+    rows("part", node("stored/", "p_size"), t.SOME_VALUES, node("Hall/", "p_size"), distinct=True),
     rows("nation", node("N/", "n_nationkey"), t.SUB_CLASS, node("R/", "n_regionkey")),
     rows("nation", node("R/", "n_regionkey"), t.SUB_CLASS, ex("Region"), distinct=True),
     rows("supplier", node("from/", "s_suppkey"), t.SUB_PROPERTY, node("fromNation/", "s_nationkey")),

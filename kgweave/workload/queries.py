@@ -56,6 +56,10 @@ def once(spark: SparkSession, sf: str, name: str, build):
     return _results[key]
 
 
+def forget_results() -> None:
+    _results.clear()
+
+
 # --- selections, projections, sets ----------------------------------------------------------------
 
 @query("find_spo", kg_sql(f"SELECT DISTINCT s, p, o FROM kg WHERE p = {q(EX + 'inNation')} AND o = {q(EX + 'n/7')}"))
@@ -527,11 +531,11 @@ def _(spark, sf):
     return owlrl.expand_nodes(merged.union(cc.star_triples(_components(spark, sf))), asked)
 
 
-@query("rl_equivalent_class", kg_sql(f"""SELECT DISTINCT x.s, x.p, d.o FROM kg x JOIN
+@query("rl_equivalent_class", kg_sql(f"""SELECT DISTINCT x.s, x.p, d.o FROM {sql.HORST_END} x JOIN
     (SELECT s, o FROM kg WHERE p = {q(t.EQUIVALENT_CLASS)} UNION SELECT o, s FROM kg WHERE p = {q(t.EQUIVALENT_CLASS)}) d
-    ON x.o = d.s WHERE x.p = {q(TYPE)}"""))
+    ON x.o = d.s WHERE x.p = {q(TYPE)}""", *sql.HORST))
 def _(spark, sf):
-    return owlrl.equivalent_class_types(kg(spark, sf))
+    return owlrl.equivalent_class_types(_horst(spark, sf))
 
 
 _LIMITS = [
@@ -709,7 +713,7 @@ def _values_of(cls, prop, rule, message, arg1, arg2="''", extra=""):
     _values_of("NoReturn", "hasItem", "cls-maxqc1", "value of the class for a property limited to none",
                sql.ex("ReturnedItem"), "x.p", f"JOIN {sql.typed('h', EX + 'ReturnedItem')} z ON x.o = z.s"),
     _values_of("NoParent", "referredBy", "cls-maxqc2", "value for a property limited to none", "x.p"),
-    f"SELECT min(node), 'eq-diff1', 'both same and different', min(node), max(node) FROM canon GROUP BY canonical HAVING count(*) > 1",
+    f"SELECT min(node), 'eq-diff1', 'both same and different', max(node), '' FROM canon GROUP BY canonical HAVING count(*) > 1",
     f"SELECT s, 'cls-nothing', 'member of owl:Nothing', '', '' FROM {sql.typed('h', t.NOTHING)}",
 ]), *_CHECK_GRAPH, sql.CANON))
 def _(spark, sf):
