@@ -14,6 +14,9 @@ from kgweave.functions.terms import TRIPLE
 from kgweave.plans.workspace import FactTable, run_to_fixpoint
 
 
+TINY_ROWS = 5_000
+
+
 class EmptyPropertyList(ValueError):
     pass
 
@@ -40,8 +43,8 @@ def close_into_table(pairs: DataFrame, group: list[str], strategy: str = "doubli
             found = compose(t.known, delta, group)
         else:
             found = compose(delta, t.known, group).union(compose(t.known, delta, group))
-        if strategy == "doubling" and not t.large:
-            # On a small relation a second doubling costs less than another round's jobs.
+        if strategy == "doubling" and t.rows <= TINY_ROWS:
+            # On a terminology a second doubling costs less than another round's jobs.
             wider = t.known.union(found).distinct()
             found = found.union(compose(wider, wider, group))
         return found
