@@ -175,7 +175,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     Each part is below its brand-and-type line and made by some supplier class; a supplier class is
     below Maker and seated in some nation class, a nation class below its region class. Brand and
     type together make a line, large parts of a brand form an intersection class, and suppliers
-    deep in debt have no possible instance.
+    in debt have no possible instance.
     """
     def read(name):
         return table(spark, sf_dir, name)
@@ -217,7 +217,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
         _rows(makers, made_node, t.SOME_VALUES, _node("S/", "l_suppkey")),
         _rows(supplier, maker, t.SUB_CLASS, F.lit(ex("Maker"))),
         _rows(supplier, maker, t.SUB_CLASS, seat_node),
-        _rows(supplier.where("s_acctbal < -900"), maker, t.SUB_CLASS, F.lit(t.NOTHING)),
+        _rows(supplier.where("s_acctbal < 0"), maker, t.SUB_CLASS, F.lit(t.NOTHING)),
         _rows(seats, seat_node, t.ON_PROPERTY, F.lit(ex("seatedIn"))),
         _rows(seats, seat_node, t.SOME_VALUES, seat),
         _rows(part.select("p_size").distinct(), size, t.SUB_CLASS, _node("stored/", "p_size")),

@@ -112,7 +112,7 @@ CATALOG_SQL = " UNION ALL ".join([
     rows("lineitem", node("made/", "l_suppkey"), t.SOME_VALUES, node("S/", "l_suppkey"), distinct=True),
     rows("supplier", node("S/", "s_suppkey"), t.SUB_CLASS, ex("Maker")),
     rows("supplier", node("S/", "s_suppkey"), t.SUB_CLASS, node("seat/", "s_nationkey")),
-    rows("supplier", node("S/", "s_suppkey"), t.SUB_CLASS, q(t.NOTHING), "s_acctbal < -900"),
+    rows("supplier", node("S/", "s_suppkey"), t.SUB_CLASS, q(t.NOTHING), "s_acctbal < 0"),
     rows("supplier", node("seat/", "s_nationkey"), t.ON_PROPERTY, ex("seatedIn"), distinct=True),
     rows("supplier", node("seat/", "s_nationkey"), t.SOME_VALUES, node("N/", "s_nationkey"), distinct=True),
     rows("part", _Z, t.SUB_CLASS, node("stored/", "p_size"), distinct=True),

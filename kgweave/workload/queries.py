@@ -674,7 +674,7 @@ def _checked(spark, sf):
             star._rows(orders.where("o_orderstatus = 'O'"), o, t.TYPE, F.lit(ex("NoItem"))),
             star._rows(orders.where("o_orderstatus = 'F'"), o, t.TYPE, F.lit(ex("NoReturn"))),
             star._rows(customer.where("c_acctbal < 0"), star._node("c/", "c_custkey"), t.TYPE, F.lit(ex("NoParent"))),
-            star._rows(supplier.where("s_acctbal < -900"), star._node("s/", "s_suppkey"), t.TYPE, F.lit(t.NOTHING)),
+            star._rows(supplier.where("s_acctbal < 0"), star._node("s/", "s_suppkey"), t.TYPE, F.lit(t.NOTHING)),
         ])).df
     return once(spark, sf, "checked", build)
 
@@ -685,7 +685,7 @@ _CHECK_GRAPH = [*sql.HORST, ("h", f"SELECT s, p, o FROM {sql.HORST_END} UNION {s
                     sql.rows("orders", sql.O, TYPE, sql.ex("NoItem"), "o_orderstatus = 'O'"),
                     sql.rows("orders", sql.O, TYPE, sql.ex("NoReturn"), "o_orderstatus = 'F'"),
                     sql.rows("customer", sql.C, TYPE, sql.ex("NoParent"), "c_acctbal < 0"),
-                    sql.rows("supplier", sql.S, TYPE, q(t.NOTHING), "s_acctbal < -900"),
+                    sql.rows("supplier", sql.S, TYPE, q(t.NOTHING), "s_acctbal < 0"),
                 ]))]
 
 
