@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgweave.llm import decontaminate, mixing
+from kgweave.llm import decontaminate, language, mixing, simhash
 from kgweave.llm.tables import documents
 
 QUERIES: dict = {}
@@ -17,6 +17,12 @@ def query(fn):
     return fn
 
 
+@query
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = language.identify(documents(spark, sf_dir))
+    return judged.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.curriculum(documents(spark, sf_dir))
@@ -103,3 +109,9 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs d LEFT JOIN spots USING (r) LEFT JOIN named USING (r)
 """
+
+
+@query
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
