@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgweave.llm import decontaminate, language, mixing, simhash
+from kgweave.llm import decontaminate, language, licences, linededup, mixing, quality, simhash
 from kgweave.llm.tables import documents
 
 QUERIES: dict = {}
@@ -115,3 +115,83 @@ FROM docs d LEFT JOIN spots USING (r) LEFT JOIN named USING (r)
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(documents(spark, sf_dir))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         "base_failed", "kept", "posterior")
+
+
+@query
+def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = linededup.dedup_lines(documents(spark, sf_dir))
+    return cleaned.select("doc_id", "n_lines", "n_removed", "lost", "text")
+
+
+ORACLE["op8_linededup"] = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+lines AS (
+  SELECT r, doc_id, spot, line FROM (
+    SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line,
+           unnest(range(len(string_split(text, chr(10))))) AS spot FROM docs WHERE text IS NOT NULL)),
+filled AS (
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY spot) AS pos FROM lines WHERE trim(line, ' ') <> ''),
+runs AS (
+  SELECT *, lead(line, 1) OVER w AS line2, lead(line, 2) OVER w AS line3 FROM filled
+  WINDOW w AS (PARTITION BY r ORDER BY pos)),
+later AS (
+  SELECT r, pos FROM (
+    SELECT r, pos, row_number() OVER (PARTITION BY line, line2, line3 ORDER BY doc_id NULLS LAST, r, pos) AS nth
+    FROM runs WHERE line3 IS NOT NULL) WHERE nth > 1),
+gone AS (SELECT DISTINCT r, unnest(range(pos, pos + 3)) AS pos FROM later),
+marked AS (SELECT f.*, g.r IS NOT NULL AS out FROM filled f LEFT JOIN gone g USING (r, pos)),
+counted AS (
+  SELECT r, count(*) AS n_lines, count(*) FILTER (WHERE out) AS n_removed,
+         coalesce(sum(length(line)) FILTER (WHERE out), 0)::DOUBLE / sum(length(line))::DOUBLE AS lost
+  FROM marked GROUP BY r),
+kept AS (
+  SELECT l.r, string_agg(l.line, chr(10) ORDER BY l.spot) AS text
+  FROM lines l LEFT JOIN marked m ON l.r = m.r AND l.spot = m.spot WHERE m.out IS NULL OR NOT m.out GROUP BY l.r)
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       coalesce(lost, 0.0)::DOUBLE AS lost, CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END AS text
+FROM docs d LEFT JOIN counted USING (r) LEFT JOIN kept k USING (r)
+"""
+
+
+@query
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(documents(spark, sf_dir))
+    return found.select(
+        "doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"),
+        F.array_join("sentence_ids", " ").alias("sentence_ids"), F.array_join("licences", " ").alias("licences"),
+        F.array_join("rules", " ").alias("rules"))
+
+
+def _licence_sql() -> str:
+    known = ", ".join(f"('{name}', '{plain}')" for name, plain in licences.SENTENCES.items())
+    rules = ", ".join(f"('{licence}', '{rule}', ' {' '.join(ids)} ')" for licence, rule, ids in licences.RULES)
+    return rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+known(sentence_id, plain) AS (VALUES {known}),
+rules(licence, rule, ids) AS (VALUES {rules}),
+pieces AS (
+  SELECT r, unnest(p) AS piece, unnest(range(len(p))) AS spot
+  FROM (SELECT r, regexp_split_to_array(text, '
+|[.!?]+(?:[ 	-
+]+|\z)') AS p FROM docs WHERE text IS NOT NULL)),
+ids AS (
+  SELECT r, count(*) AS n, string_agg(sentence_id, ' ' ORDER BY spot) AS ids
+  FROM (SELECT r, spot, trim(regexp_replace(lower(piece), '[^a-z0-9]+', ' ', 'g')) AS plain FROM pieces)
+  JOIN known USING (plain) GROUP BY r),
+matched AS (
+  SELECT r, string_agg(DISTINCT licence, ' ' ORDER BY licence) AS licences, string_agg(DISTINCT rule, ' ' ORDER BY rule) AS rules
+  FROM ids i JOIN rules u ON contains(' ' || i.ids || ' ', u.ids) GROUP BY r)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_sentences, coalesce(ids, '') AS sentence_ids,
+       coalesce(licences, '') AS licences, coalesce(rules, '') AS rules
+FROM docs d LEFT JOIN ids USING (r) LEFT JOIN matched USING (r)
+"""
+
+
+ORACLE["op9_licences"] = _licence_sql()
