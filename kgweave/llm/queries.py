@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgweave.llm import decontaminate, language, licences, linededup, mixing, quality, simhash
+from kgweave.llm import decontaminate, language, licences, linededup, mixing, phrases, quality, simhash
 from kgweave.llm.tables import documents
 
 QUERIES: dict = {}
@@ -124,6 +124,32 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "base_failed", "kept", "posterior")
 
 
+@query
+def op7_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = phrases.remove_repeats(documents(spark, sf_dir))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE["op7_phrases"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT r, doc_id, s, list_slice(w, s, s + 19) AS words
+  FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM docs WHERE len(w) >= 20)),
+later AS (
+  SELECT r, s FROM (
+    SELECT r, s, row_number() OVER (PARTITION BY words ORDER BY doc_id NULLS LAST, r, s) AS nth FROM windows) WHERE nth > 1),
+gone AS (SELECT r, list(DISTINCT p) AS spots FROM (SELECT r, unnest(range(s, s + 20)) AS p FROM later) GROUP BY r),
+cut AS (
+  SELECT d.r, d.doc_id, w, CASE WHEN g.r IS NULL THEN w ELSE list_select(w, list_sort(list_filter(
+           range(1, len(w) + 1), lambda p: NOT list_contains(g.spots, p)))) END AS kept
+  FROM docs d LEFT JOIN gone g USING (r))
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - len(kept) AS BIGINT) AS n_removed,
+       sha256(array_to_string(kept, ' ')) AS kept_sha256
+FROM cut
+"""
+
+
 @query
 def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = linededup.dedup_lines(documents(spark, sf_dir))
