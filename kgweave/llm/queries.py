@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgweave.llm import decontaminate, language, licences, linededup, mixing, phrases, quality, simhash
-from kgweave.llm.tables import documents
+from kgweave.llm import decontaminate, language, licences, linededup, mixing, phrases, quality, simhash, tokens
+from kgweave.llm.tables import Scratch, documents
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -221,3 +221,9 @@ FROM docs d LEFT JOIN ids USING (r) LEFT JOIN matched USING (r)
 
 
 ORACLE["op9_licences"] = _licence_sql()
+
+
+@query
+def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = Scratch(spark).keep(tokens.token_files(documents(spark, sf_dir)))
+    return tokens.scan(files, keep=("ids",)).select(F.col("ids").alias("doc_id"), "n_tokens", "closed")
