@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgweave.llm import decontaminate, language, licences, linededup, mixing, phrases, quality, simhash, tokens
+from kgweave.llm import decontaminate, language, licences, linededup, mixing, phrases, quality, simhash, sitestyle, tokens
 from kgweave.llm.tables import Scratch, documents
 
 QUERIES: dict = {}
@@ -17,6 +17,12 @@ def query(fn):
     return fn
 
 
+@query
+def op1_sitestyle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sitestyle.extract(documents(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", "n_chars")
+
+
 @query
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = language.identify(documents(spark, sf_dir))
