@@ -93,8 +93,9 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     gone = F.array_distinct(F.flatten(F.transform(
         F.col("starts"), lambda s: F.sequence(s, s + F.lit(min_lines - 1)))))
     parts = F.split("text", "\n")
+    # by hash at every size, so that texts are shuffled once and never sorted
     joined = (
-        packed.join(copies, "row", "left")
+        packed.join(copies.hint("shuffle_hash"), "row", "left")
         .withColumn("lines", F.when(F.col("starts").isNotNull(), parts))
         .withColumn("full", F.filter(F.sequence(F.lit(0), F.size("lines") - 1),
                                      lambda i: F.trim(F.col("lines")[i]) != ""))
@@ -107,7 +108,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     text = F.when(changed, F.array_join(F.transform("left", lambda i: F.col("lines")[i]), "\n")).otherwise(F.col("text"))
     return joined.select(
         *[text.alias("text") if c == "text" else F.col("doc")[c].alias(c) for c in names],
-        F.when(changed, F.size("full")).otherwise(F.coalesce(F.size(filled), F.lit(0))).cast("long").alias("n_lines"),
+        F.when(changed, F.size("full")).when(F.col("text").isNull(), 0).otherwise(F.size(filled)).cast("long").alias("n_lines"),
         F.when(changed, F.size("out")).otherwise(F.lit(0)).cast("long").alias("n_removed"),
         F.when(changed, chars(F.col("out")) / F.nullif(chars(F.col("full")), F.lit(0))).otherwise(F.lit(0.0)).alias("lost"),
     )
