@@ -107,7 +107,7 @@ def _report(window: int, phrase: int, parts: int):
     def run(docs: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
         found = [anchors(_hashes(words_of(t)), window, phrase)[1] for t in _own(docs, notes)["text"]]
         if not found:
-            return pd.DataFrame({"part": [], "shard": [], "hashes": [], "twice": []})
+            return pd.DataFrame(columns=["part", "shard", "hashes", "twice"])
         values, counts = np.unique(np.concatenate(found), return_counts=True)
         shard = int(docs["shard"].iloc[0])
         return pd.DataFrame(
@@ -140,7 +140,7 @@ def automata(phrases: list[str]) -> Iterator[ahocorasick.Automaton]:
 
 def _locate(window: int, phrase: int, parts: int):
     def run(docs: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({c.split()[0]: [] for c in FOUND.split(", ")})
+        empty = pd.DataFrame(columns=[c.split()[0] for c in FOUND.split(", ")])
         recurring = np.unique(_joined(notes.loc[notes["kind"] == "phrase", "hashes"]))
         docs = _own(docs, notes)
         if not len(recurring) or not len(docs):
