@@ -35,8 +35,9 @@ def item_windows(items: DataFrame, width: int = WINDOW) -> DataFrame:
         words.where(F.size("w") > 0)
         .select("item", "w", F.explode(starts).alias("start"))
         .select("item", F.slice("w", F.col("start"), F.lit(width)).alias("words"))
-        .groupBy("words").agg(F.collect_set("item").alias("items"))
-        .select(F.md5(F.concat_ws(" ", "words")).alias("window_id"), "words", "items")
+        .groupBy("words").agg(F.collect_set(F.struct("item")).alias("items"))
+        .select(F.md5(F.concat_ws(" ", "words")).alias("window_id"), "words",
+                F.col("items.item").alias("items"))
     )
 
 
@@ -80,7 +81,8 @@ def contamination(docs: DataFrame, items: DataFrame, keep=("doc_id",), width: in
     ``spans`` are the distinct ``(start, length)`` of item windows found, ``items`` the ids (as
     strings, sorted) that have them. Null or empty text has no words and no hits; null items and
     items without words match nothing; item ids that repeat count once; rows with the same
-    ``doc_id`` are judged each on its own text. An empty benchmark hits nothing.
+    ``doc_id`` are judged each on its own text. Items without an id count as one, listed last as null. An
+    empty benchmark hits nothing.
     """
     scratch = Scratch(docs.sparkSession)
     windows = scratch.keep(item_windows(items, width))
