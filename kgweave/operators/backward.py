@@ -26,14 +26,39 @@ def _matches(**terms: str | None) -> Column:
     return condition
 
 
+PUSHED = 1_000  # predicates that a scan is asked for by name
+
+
 class GoalReasoner:
-    """Answers patterns over a graph; the terminology is read and closed once."""
+    """Answers patterns over a graph; the terminology is read and closed once.
+
+    Triples of a property below ``rdf:type`` or a schema property are terminology or types themselves.
+    They are added until the terminology no longer grows, and only these: the graph stays as it is.
+    """
 
     def __init__(self, graph: DataFrame):
         self.graph = graph.select(*TRIPLE)
+        self.facts = self.graph
         self.schema = store(self.graph.where(F.col("p").isin(RDFS_SCHEMA)).distinct())
-        self.hierarchy = close_hierarchy(self.schema.df)
-        self.effects = compile_effects(self.schema.df, self.hierarchy)
+        while True:
+            self.hierarchy = close_hierarchy(self.schema.df)
+            self.effects = compile_effects(self.schema.df, self.hierarchy)
+            lifts = self._narrowed(self.effects.by_property, (F.col("action") == "P") & F.col("target").isin(
+                t.TYPE, *RDFS_SCHEMA))
+            if lifts.df.isEmpty():
+                break
+            lifted = self._of(lifts, self.graph).join(lifts.side(lifts.df.select("p", "target")), "p").select(
+                "s", F.col("target").alias("p"), "o")
+            grown = store(self.schema.df.union(lifted.where(F.col("p") != t.TYPE)).distinct())
+            self.facts = self.graph.union(lifted)
+            if grown.rows == self.schema.rows:
+                break
+            self.schema = grown
+
+    def _of(self, effects: Stored, rows: DataFrame) -> DataFrame:
+        """The rows whose predicate has one of the effects; few predicates are named to the scan."""
+        names = [r.p for r in effects.df.select("p").distinct().limit(PUSHED + 1).collect()]
+        return rows.where(F.col("p").isin(names)) if len(names) <= PUSHED else rows
 
     def asserted(self, s: str | None = None, p: str | None = None, o: str | None = None) -> DataFrame:
         return find(self.graph, s, p, o)
@@ -65,16 +90,16 @@ class GoalReasoner:
         """Through a class below, or through a property whose domain or range is or lies below."""
         effects = self.effects
         wanted = F.col("target") == o if o is not None else F.lit(True)
-        stated = self.asserted(s, t.TYPE, o)
+        stated = find(self.facts, s, t.TYPE, o)
         below = self._narrowed(effects.by_class, wanted)
         from_class = (
-            self.asserted(s, t.TYPE).join(below.side(below.df.withColumnRenamed("c", "o")), "o")
+            find(self.facts, s, t.TYPE, None).join(below.side(below.df.withColumnRenamed("c", "o")), "o")
             .select("s", "p", F.col("target").alias("o"))
         )
 
         def through(action: str, node: str) -> DataFrame:
             side = self._narrowed(effects.by_property, (F.col("action") == action) & wanted)
-            rows = self.graph.where(_matches(**{node: s}))
+            rows = self._of(side, self.graph.where(_matches(**{node: s})))
             joined = rows.join(side.side(side.df.select("p", "target", "literal_ok")), "p")
             return joined.where(F.col("literal_ok") | ~is_literal(F.col("o"))).select(
                 F.col(node).alias("s"), F.lit(t.TYPE).alias("p"), F.col("target").alias("o"))
@@ -83,13 +108,13 @@ class GoalReasoner:
 
     def _property(self, s: str | None, p: str, o: str | None) -> DataFrame:
         side = self._narrowed(self.effects.by_property, (F.col("action") == "P") & (F.col("target") == p))
-        below = self.asserted(s, None, o).join(side.side(side.df.select("p", "target")), "p").select(
+        below = self._of(side, self.asserted(s, None, o)).join(side.side(side.df.select("p", "target")), "p").select(
             "s", F.col("target").alias("p"), "o")
         return self.asserted(s, p, o).union(below)
 
     def _any_predicate(self, s: str | None, o: str | None) -> DataFrame:
         moves = self._narrowed(self.effects.by_property, F.col("action") == "P")
-        below = self.asserted(s, None, o).join(moves.side(moves.df.select("p", "target")), "p").select(
+        below = self._of(moves, self.asserted(s, None, o)).join(moves.side(moves.df.select("p", "target")), "p").select(
             "s", F.col("target").alias("p"), "o")
         return union_all([self.asserted(s, None, o), below, self._types(s, o), self.hierarchy.triples()])
 

@@ -43,8 +43,9 @@ def close_into_table(pairs: DataFrame, group: list[str], strategy: str = "doubli
             found = compose(t.known, delta, group)
         else:
             found = compose(delta, t.known, group).union(compose(t.known, delta, group))
-        if strategy == "doubling" and t.rows <= TINY_ROWS:
-            # On a terminology a second doubling costs less than another round's jobs.
+        if strategy == "doubling" and max_rounds is None and t.rows <= TINY_ROWS:
+            # On a terminology a second doubling costs less than another round's jobs. Where rounds
+            # are limited, each is one composition at every size.
             wider = t.known.union(found).distinct()
             found = found.union(compose(wider, wider, group))
         return found

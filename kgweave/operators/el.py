@@ -18,7 +18,7 @@ from kgweave.operators.closure import closure_of_predicate
 from kgweave.operators.lists import unfold_list
 from kgweave.plans.workspace import FactTable, Stored, run_to_fixpoint, store, union_all
 
-AUXILIARY = "_:and-"
+AUXILIARY = "\x01and-"  # begins like no IRI, blank node or literal
 
 
 # --- reading axioms -------------------------------------------------------------------------------

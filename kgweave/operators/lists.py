@@ -16,6 +16,8 @@ class CyclicList(ValueError):
 def unfold_list(graph: DataFrame) -> DataFrame:
     """``(head, pos, member)`` for every list, ``pos`` counted from 1.
 
+    A list begins at a cell that no other cell points at, or that something other than a cell points at.
+
     Each open cell takes over the pointer of the cell it points at, which doubles the distance it
     covers, so a list of n cells takes log2(n) rounds. A cell is settled once it points at its
     head; open cells of one list all point at different cells, so no join key becomes frequent.
@@ -50,6 +52,13 @@ def unfold_list(graph: DataFrame) -> DataFrame:
         )
         state = store(state.df.where("settled").unionByName(moved))
         reach *= 2
-    return state.df.join(cells, "cell").select(
+    pointed = store(links.select(F.col("cell").alias("o")).distinct())
+    inner = graph.where(~F.col("p").isin(FIRST, REST)).join(pointed.side(), "o", "left_semi").select(
+        F.col("o").alias("cell")).distinct()
+    start = state.df.join(inner, "cell").groupBy("cell").agg(F.min(F.struct("at", "dist")).alias("x")).select(
+        F.col("cell").alias("head"), F.col("x.at").alias("at"), F.col("x.dist").alias("skip"))
+    tails = state.df.join(start, "at").where(F.col("dist") >= F.col("skip")).select(
+        "cell", F.col("head").alias("at"), (F.col("dist") - F.col("skip")).alias("dist"))
+    return state.df.select("cell", "at", "dist").union(tails).join(cells, "cell").select(
         F.col("at").alias("head"), (F.col("dist") + 1).alias("pos"), "member"
     )
