@@ -106,12 +106,17 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
         at, F.lit(0).cast("long"), lambda n, i: n + F.length(F.col("lines")[i]))
     changed = F.col("starts").isNotNull()
     text = F.when(changed, F.array_join(F.transform("left", lambda i: F.col("lines")[i]), "\n")).otherwise(F.col("text"))
-    return joined.select(
-        *[text.alias("text") if c == "text" else F.col("doc")[c].alias(c) for c in names],
+    result = F.struct(
+        text.alias("text"),
         F.when(changed, F.size("full")).when(F.col("text").isNull(), 0).otherwise(F.size(filled)).cast("long").alias("n_lines"),
         F.when(changed, F.size("out")).otherwise(F.lit(0)).cast("long").alias("n_removed"),
         F.when(changed, chars(F.col("out")) / F.nullif(chars(F.col("full")), F.lit(0))).otherwise(F.lit(0.0)).alias("lost"),
     )
+    # From a generator, so that no filter on these columns is rewritten into one that splits the text for each line.
+    made = joined.select("doc", F.explode(F.array(result)).alias("made"))
+    return made.select(
+        *[F.col("made.text") if c == "text" else F.col("doc")[c].alias(c) for c in names],
+        "made.n_lines", "made.n_removed", "made.lost")
 
 
 def drop_copied(docs: DataFrame, min_lines: int = MIN_LINES, most_lost: float = MOST_LOST) -> DataFrame:
