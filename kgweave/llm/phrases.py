@@ -129,15 +129,26 @@ def _confirm(reports: pd.DataFrame) -> pd.DataFrame:
 
 
 def automata(phrases: list[str]) -> Iterator[ahocorasick.Automaton]:
-    """Automata over the phrases, each with a space on both sides; a hit gives the phrase's length."""
+    """Automata over the phrases, of bounded size each."""
     for at in range(0, len(phrases), PATTERNS):
-        machine = ahocorasick.Automaton()
+        machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
         for phrase in phrases[at:at + PATTERNS]:
-            machine.add_word(phrase, len(phrase))
+            machine.add_word(phrase)
         machine.make_automaton()
         yield machine
 
 
+def spelled(numbers: np.ndarray, width: int) -> str:
+    """Word numbers as ``width`` characters each; the first is of another alphabet than the rest.
+
+    So a phrase is found at whole words only, and is short, which keeps automata and streams small.
+    """
+    digits = np.empty((len(numbers), width), np.uint16)
+    for k in range(width):
+        digits[:, k] = (numbers >> (6 * k) & 63) + (64 if k else 128)
+    return digits.tobytes().decode("utf-16-le")
+
+
 def _locate(window: int, phrase: int, parts: int):
     def run(docs: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame(columns=[c.split()[0] for c in FOUND.split(", ")])
@@ -146,28 +157,32 @@ def _locate(window: int, phrase: int, parts: int):
         if not len(recurring) or not len(docs):
             return empty
         shard = int(docs["shard"].iloc[0])
+        vocabulary: dict[bytes, int] = {}
+        numbers = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.int64, len(words))
+                   for words in map(words_of, docs["text"])]
+        width = max(2, -(-len(vocabulary).bit_length() // 6))
+        known = _hashes(list(vocabulary))
         phrases, streams, hashed = set(), [], []
-        for text in docs["text"]:
-            words = words_of(text)
-            hashes = _hashes(words) if len(words) >= window else np.empty(0, np.uint64)
+        for own in numbers:
+            hashes = known[own] if len(own) >= window else np.empty(0, np.uint64)
+            stream = spelled(own, width) if len(hashes) else ""
             places, found = anchors(hashes, window, phrase)
-            for p in places[np.isin(_signed(found), recurring)]:
-                phrases.add((b" " + b" ".join(words[p:p + phrase]) + b" ").decode("utf-8", "surrogatepass"))
-            streams.append((b" " + b" ".join(words) + b" ").decode("utf-8", "surrogatepass") if len(hashes) else "")
+            for p in places[_among(_signed(found), recurring)].tolist():
+                phrases.add(stream[p * width:(p + phrase) * width])
+            streams.append(stream)
             hashed.append(hashes)
         ends: list[list[int]] = [[] for _ in streams]
         for machine in automata(sorted(phrases)):
             for own, stream in zip(ends, streams):
                 if stream:
-                    own.extend(end - length + 1 for end, length in machine.iter(stream))
+                    own.extend(end for end, _ in machine.iter(stream))
         ids = docs["id"].to_numpy()
         columns = {"h1": [], "h2": [], "ids": [], "rows": [], "starts": []}
-        for i, (own, stream, row) in enumerate(zip(ends, streams, docs["row"])):
+        for i, (own, row) in enumerate(zip(ends, docs["row"])):
             if not own:
                 continue
             n = len(hashed[i])
-            spaces = np.flatnonzero(np.frombuffer(stream.encode("utf-32-le", "surrogatepass"), np.uint32) == 32)
-            places = np.searchsorted(spaces, np.unique(own))
+            places = (np.unique(own) + 1) // width - phrase
             near = np.zeros(n + 1, np.int64)  # windows from the one that ends with the phrase to the one that begins with it
             np.add.at(near, np.maximum(places + phrase - window, 0), 1)
             np.add.at(near, places + 1, -1)
@@ -190,6 +205,11 @@ def _locate(window: int, phrase: int, parts: int):
     return run
 
 
+def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which values are in ``ordered``, by binary search: ``ordered`` is long and read for each text."""
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
 def _later(frame: dict[str, np.ndarray]) -> np.ndarray:
     """Which windows have an equal one that comes first in document order."""
     order = np.lexsort((frame["starts"], frame["rows"], frame["ids"], frame["h2"], frame["h1"]))
