@@ -1,11 +1,14 @@
-"""The ten operators as queries over whole tables, with SQL where SQL can express them."""
+"""The operators as queries over whole tables, with SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgweave.llm import decontaminate, language, licences, linededup, mixing, phrases, quality, simhash, sitestyle, tokens
+from kgweave.llm import (
+    decontaminate, language, licences, linededup, merkle, mixing, negatives, phrases, quality, simhash, sitestyle, tokens,
+    toxicity,
+)
 from kgweave.llm.tables import Scratch, documents
 
 QUERIES: dict = {}
@@ -233,3 +236,102 @@ ORACLE["op9_licences"] = _licence_sql()
 def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = Scratch(spark).keep(tokens.token_files(documents(spark, sf_dir)))
     return tokens.scan(files, keep=("ids",)).select(F.col("ids").alias("doc_id"), "n_tokens", "closed")
+
+
+@query
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = toxicity.score(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    found = negatives.mine(
+        rows.select("vec_id", label.alias("label"), negatives.scaled(F.col("embedding"), 256).alias("vector")),
+        F.col("vec_id") % 100 == 0)
+    return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+ORACLE["op12_negatives"] = """
+WITH vectors AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         [floor(256 * CAST(x AS DOUBLE)) for x in embedding] AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+scores AS (
+  SELECT a.r AS anchor, a.vec_id AS anchor_id, b.r, b.vec_id, a.label = b.label AS same,
+         CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM vectors a JOIN vectors b ON a.r <> b.r WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor, anchor_id, r AS positive, vec_id AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) <= 5),
+ranked AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor, p.positive ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM positives p JOIN scores s ON s.anchor = p.anchor AND NOT s.same
+   AND 100 * s.score BETWEEN 30 * positive_score AND 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM ranked WHERE rank <= 10
+"""
+
+
+@query
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, proved = merkle.manifest_of(documents(spark, sf_dir))
+    return proved.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def _enc(value: str) -> str:
+    return f"coalesce(CAST(strlen({value}) AS VARCHAR) || ':' || {value}, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    columns = ("CAST(doc_id AS VARCHAR)", "source", "lang", f"CAST({n_chars} AS VARCHAR)", "text")
+    return f"sha256({' || '.join(_enc(c) for c in columns)})"
+
+
+def _climb(tree: str, table: str, state: str) -> str:
+    return f"""
+  SELECT p.id, p.g, p.level + 1, p.pos // 2, (p.size + 1) // 2, p.proof || coalesce(s.h, ''),
+         sha256(CASE WHEN p.pos % 2 = 1 THEN coalesce(s.h, '') || p.folded ELSE p.folded || coalesce(s.h, '') END)
+  FROM {state} p LEFT JOIN {table} s ON {tree} s.level = p.level AND s.pos = xor(p.pos, 1) WHERE p.size > 1"""
+
+
+ORACLE["op13_merkle"] = f"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+              ORDER BY i) AS t
+  FROM (SELECT unnest(range(256)) AS i)),
+docs AS (
+  SELECT row_number() OVER () AS id, doc_id, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, {_leaf("n_chars")} AS leaf,
+         CASE WHEN doc_id IS NOT NULL AND n_chars IS NOT NULL AND xor(4294967295, list_reduce(
+                list_prepend(4294967295, [CAST(ascii(x) AS BIGINT) for x in string_split(CAST(doc_id AS VARCHAR), '')]),
+                lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 7 = 0
+              THEN {_leaf("n_chars + 1")} ELSE {_leaf("n_chars")} END AS shown
+  FROM documents, crc_table),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS size
+  FROM docs),
+nodes(g, level, pos, size, h) AS (
+  SELECT g, 0, pos, size, leaf FROM placed
+  UNION ALL
+  SELECT g, level + 1, pos // 2, (size + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM nodes WHERE size > 1
+  GROUP BY g, level, pos // 2, size),
+subroots AS (SELECT g, h FROM nodes WHERE size = 1),
+tops(level, pos, size, h) AS (
+  SELECT 0, g, (SELECT count(*) FROM subroots), h FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 2, (size + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM tops WHERE size > 1
+  GROUP BY level, pos // 2, size),
+lower_paths(id, g, level, pos, size, proof, folded) AS (
+  SELECT id, g, 0, pos, size, '', shown FROM placed
+  UNION ALL {_climb("s.g = p.g AND", "nodes", "lower_paths")}),
+upper_paths(id, g, level, pos, size, proof, folded) AS (
+  SELECT id, g, 0, g, (SELECT count(*) FROM subroots), proof, folded FROM lower_paths WHERE size = 1
+  UNION ALL {_climb("", "tops", "upper_paths")})
+SELECT p.doc_id, p.leaf, s.h AS subroot, r.h AS root, sha256(u.proof) AS proof_sha256, u.folded AS folded_root,
+       u.folded = r.h AS verified
+FROM placed p JOIN subroots s USING (g) JOIN upper_paths u ON u.id = p.id AND u.size = 1 JOIN tops r ON r.size = 1
+"""
