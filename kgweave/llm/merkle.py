@@ -7,24 +7,21 @@ inner node is the hash of up to two consecutive nodes; the last one of a level m
 a group with a third of all rows is spread like any other), written, and numbered by adding the counts
 of the parts before. Only digests and keys are shuffled, never the rows themselves.
 
-**Nodes.** ``BLOCK`` consecutive leaves of a group form a leaf partition. One task per leaf partition
-hashes ``HEIGHT`` levels; the partitions' roots are the leaves of the next round. A round divides the
+**Nodes.** ``BLOCK`` consecutive leaves of a group form a leaf partition. A leaf partition is
+hashed ``HEIGHT`` levels; the partitions' roots are the leaves of the next round. A round divides the
 number of nodes by ``BLOCK``, so a group of 10^12 leaves takes four rounds.
 
 **Octopus multiproof.** Each leaf partition works out which node coordinates the proofs of its wanted
 leaves need and cannot be derived from these leaves: the minimal union, every coordinate once. It fetches
 them once in one join, derives the inner nodes that its proofs share, and expands them to one proof per leaf
-locally. Coordinates near a root are wanted by many partitions but are few, so their nodes are a broadcast
+locally. All of it is array functions over a partition's bounded list of leaves. Coordinates near a root are wanted by many partitions but are few, so their nodes are a broadcast
 side (at most ``TOP_NODES``, counted); coordinates further down are wanted by a bounded number of partitions.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -48,23 +45,13 @@ def digest(*columns: Column) -> Column:
     return F.sha2(F.concat(*[field(c) for c in columns]).cast("binary"), 256)
 
 
-def join_digests(children: list[str]) -> str:
-    """The node above: SHA-256 of the hex digests one after the other."""
-    return hashlib.sha256("".join(children).encode()).hexdigest()
+def _levels(size: str) -> str:
+    """The numbers of the levels below the root of a tree, as an array; none for a lone leaf."""
+    return f"filter(sequence(0, 63), l -> l < 63 AND shiftright({size} - 1, l) > 0)"
 
 
-def height(leaves: int) -> int:
-    """Levels above the leaves of a tree."""
-    return (leaves - 1).bit_length()
-
-
-def _fold(level: list[str], levels: int) -> list[list[str]]:
-    """The nodes of each of ``levels`` levels above ``level``."""
-    found = []
-    for _ in range(levels):
-        level = [join_digests(level[i:i + 2]) for i in range(0, len(level), 2)]
-        found.append(level)
-    return found
+def _node(left: str, right: str) -> str:
+    return f"sha2(concat({left}, coalesce({right}, '')), 256)"
 
 
 def numbered(rows: DataFrame, group: str, order: list[str], scratch: Scratch) -> DataFrame:
@@ -90,19 +77,12 @@ def numbered(rows: DataFrame, group: str, order: list[str], scratch: Scratch) ->
     )
 
 
-def _blocks(level: int):
-    """Per block of consecutive nodes at ``level``: all nodes above it, up to the block's or the tree's root."""
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos")
-        first = rows.iloc[0]
-        levels = min(HEIGHT, height(int(first["size"])) - level)
-        found = [(first["tree"], int(first["size"]), level + up, (int(first["pos"]) >> up) + i, node)
-                 for up, nodes in enumerate(_fold(rows["digest"].tolist(), levels), 1) for i, node in enumerate(nodes)]
-        return pd.DataFrame(found, columns=["tree", "size", "level", "pos", "digest"])
-    return run
-
-
-NODE = "tree long, size long, level int, pos long, digest string"
+def _grown(digests: str, levels: str) -> str:
+    """The levels of a block from its digests on, each an array of nodes."""
+    last = "element_at(found, -1)"
+    pair = _node(f"get({last}, 2 * j)", f"get({last}, 2 * j + 1)")
+    return (f"aggregate({levels}, array({digests}), (found, up) -> "
+            f"concat(found, array(transform(sequence(0, (size({last}) - 1) div 2), j -> {pair}))))")
 
 
 def inner_nodes(leaves: DataFrame, scratch: Scratch) -> DataFrame:
@@ -111,12 +91,19 @@ def inner_nodes(leaves: DataFrame, scratch: Scratch) -> DataFrame:
     nodes = scratch.keep(leaves.select("tree", "size", F.lit(0).alias("level"), "pos", "digest"))
     while True:
         parts.append(nodes)
-        # roots are known by their level: ceil(log2(size)), exact for any long
         open_ = nodes.where((F.col("level") == level) & (F.col("size") > F.lit(1 << level)))
         if open_.isEmpty():
             break
-        block = F.shiftright("pos", HEIGHT)
-        nodes = scratch.keep(open_.groupBy("tree", block.alias("block")).applyInPandas(_blocks(level), NODE))
+        # up to the block's root, or to the tree's where that comes first
+        wanted = f"filter(sequence(1, {HEIGHT}), up -> shiftright(size - 1, {level} + up - 1) > 0)"
+        blocks = open_.groupBy("tree", "size", F.shiftright("pos", HEIGHT).alias("block")).agg(
+            F.array_sort(F.collect_list(F.struct("pos", "digest"))).alias("own"))
+        grown = blocks.select("tree", "size", "block", F.expr(_grown("own.digest", wanted)).alias("found"))
+        nodes = scratch.keep(
+            grown.select("tree", "size", "block", F.posexplode("found").alias("up", "row")).where("up > 0")
+            .select("tree", "size", "block", "up", F.posexplode("row").alias("i", "digest"))
+            .select("tree", "size", (F.col("up") + F.lit(level)).alias("level"),
+                    F.expr(f"shiftright(block * {BLOCK}L, up) + i").alias("pos"), "digest"))
         level += HEIGHT
     result = parts[0]
     for part in parts[1:]:
@@ -130,41 +117,46 @@ def roots(nodes: DataFrame) -> DataFrame:
     return nodes.where(top).select("tree", "size", "digest")
 
 
-def missing(wanted: list[int], size: int) -> list[tuple[int, int]]:
-    """The ``(level, pos)`` that proofs of the wanted leaves need and that these leaves do not yield, each once."""
-    have, level, found = sorted(set(wanted)), 0, []
-    while size > 1:
-        own = set(have)
-        found += [(level, p ^ 1) for p in have if p ^ 1 < size and p ^ 1 not in own]
-        have = sorted({p >> 1 for p in have})
-        size, level = (size + 1) >> 1, level + 1
-    return found
+def missing(wanted: str, size: str) -> str:
+    """The ``(level, pos)`` that proofs of the wanted positions need and that these do not yield, each once.
 
+    Both arguments are SQL: an array of positions, and the leaves of the tree.
+    """
+    have = f"transform({wanted}, p -> shiftright(p, l))"
+    siblings = f"array_except(transform({have}, p -> p ^ 1L), {have})"
+    inside = f"filter({siblings}, p -> p <= shiftright({size} - 1, l))"
+    return f"flatten(transform({_levels(size)}, l -> transform({inside}, p -> struct(l AS level, p AS pos))))"
 
-def expand(leaves: dict[int, str], fetched: dict[tuple[int, int], str], size: int) -> dict[int, list[list[str]]]:
-    """The siblings of each leaf, level by level to the root, from the leaves and the fetched nodes.
 
-    Inner nodes that several proofs share are hashed once.
-    """
-    proofs = {p: [] for p in leaves}
-    nodes, level = dict(leaves), 0
-    while size > 1:
-        def at(p):
-            return nodes[p] if p in nodes else fetched[level, p]
+def _nodes_by_level(leaves: str, fetched: str, size: str) -> str:
+    """Per level a map from position to node: what is fetched, and what the leaves and these yield."""
+    def level(number: str, own: str) -> str:
+        got = f"transform(filter({fetched}, f -> f.level = {number}), f -> struct(f.at, f.node))"
+        return f"map_from_entries(concat({own}, {got}))"
 
-        for leaf, proof in proofs.items():
-            sibling = (leaf >> level) ^ 1
-            proof.append([at(sibling)] if sibling < size else [])
-        nodes = {p: join_digests([at(c) for c in (2 * p, 2 * p + 1) if c < size]) for p in {q >> 1 for q in nodes}}
-        size, level = (size + 1) >> 1, level + 1
-    return proofs
+    below = "element_at(found, -1)"
+    derived = (f"transform(array_distinct(transform({leaves}, w -> shiftright(w.pos, l + 1))), p -> struct(p AS at, "
+               f"{_node(f'element_at({below}, 2 * p)', f'element_at({below}, 2 * p + 1)')} AS node))")
+    first = level("0", f"array_distinct(transform({leaves}, w -> struct(w.pos AS at, w.digest AS node)))")
+    return f"aggregate({_levels(size)}, array({first}), (found, l) -> concat(found, array({level('l + 1', derived)})), "
 
 
-def climb(digest: str, pos: int, proof: list[list[str]]) -> str:
-    """The root that follows from a leaf at ``pos`` and its siblings."""
-    for level, siblings in enumerate(proof):
-        digest = join_digests([*siblings, digest] if pos >> level & 1 else [digest, *siblings])
-    return digest
+def expanded(leaves: str, fetched: str, size: str) -> str:
+    """Each leaf with its ``proof``: the sibling at every level up to the root, empty where there is none.
+
+    ``leaves`` and ``fetched`` are arrays of structs ``(pos, digest, presented)`` and ``(level, at, node)``. Inner nodes
+    that several proofs share are hashed once.
+    """
+    sibling = "coalesce(element_at(found[l], shiftright(w.pos, l) ^ 1L), '')"
+    proof = f"transform({_levels(size)}, l -> {sibling})"
+    return (_nodes_by_level(leaves, fetched, size)
+            + f"found -> transform({leaves}, w -> struct(w.pos, w.digest, w.presented, {proof} AS proof)))")
+
+
+def climbed(digest: str, pos: str, proof: str) -> str:
+    """The root that follows from a digest at a position and its siblings."""
+    step = f"CASE WHEN shiftright({pos}, step.l) % 2 = 1 THEN concat(step.h, at) ELSE concat(at, step.h) END"
+    return (f"aggregate(transform({proof}, (h, l) -> struct(h, l)), {digest}, (at, step) -> sha2({step}, 256))")
 
 
 @dataclass(frozen=True)
@@ -209,48 +201,19 @@ def build(rows: DataFrame, group: str, order: list[str]) -> Manifest:
     return Manifest(leaves, below.unionByName(above), subroots, number, root.digest if root else None, scratch)
 
 
-def _coordinates(top: int):
-    """Per leaf partition the coordinates it has to fetch, in its own tree and in the tree over the subroots."""
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        tree, block, size = (int(rows[c].iloc[0]) for c in ("tree", "block", "size"))
-        found = [(tree, block, tree, *c) for c in missing(rows["pos"].tolist(), size)]
-        found += [(tree, block, TOP, *c) for c in missing([tree], top)]
-        return pd.DataFrame(found, columns=["tree", "block", "in_tree", "level", "pos"])
-    return run
-
-
-def _expander(top: int):
-    def run(leaves: pd.DataFrame, fetched: pd.DataFrame) -> pd.DataFrame:
-        if leaves.empty:
-            return pd.DataFrame({"tree": [], "pos": [], "digest": [], "proof_sha256": [], "folded_root": []})
-        tree, size = int(leaves["tree"].iloc[0]), int(leaves["size"].iloc[0])
-        got = {(int(t), int(level), int(pos)): node for t, level, pos, node in
-               zip(fetched["in_tree"], fetched["level"], fetched["at"], fetched["node"])}
-        own = {key[1:]: node for key, node in got.items() if key[0] == tree}
-        proofs = expand(dict(zip(leaves["pos"].astype(int), leaves["digest"])), own, size)
-        above, at, count, level = [], tree, top, 0
-        while count > 1:
-            above.append([got[TOP, level, at ^ 1]] if at ^ 1 < count else [])
-            at, count, level = at >> 1, (count + 1) >> 1, level + 1
-        out = []
-        for pos, digest, presented in zip(leaves["pos"].astype(int), leaves["digest"], leaves["presented"]):
-            subroot = climb(presented, pos, proofs[pos])
-            out.append((tree, pos, digest, join_digests([n for step in (*proofs[pos], *above) for n in step]),
-                        climb(subroot, tree, above)))
-        return pd.DataFrame(out, columns=["tree", "pos", "digest", "proof_sha256", "folded_root"])
-    return run
-
-
 def prove(manifest: Manifest, wanted: DataFrame) -> DataFrame:
     """``wanted`` rows ``(tree, size, pos, digest, presented)`` with ``proof_sha256`` and ``folded_root``.
 
     The proof belongs to the manifest's leaf ``digest``; the folded root is recomputed from the digest
     ``presented`` for it. Any set of leaves may be wanted.
     """
-    wanted = wanted.withColumn("block", F.shiftright("pos", HEIGHT))
     top, scratch = manifest.subroots_number, manifest.scratch
-    asked = scratch.keep(wanted.select("tree", "block", "size", "pos").groupBy("tree", "block").applyInPandas(
-        _coordinates(top), "tree long, block long, in_tree long, level int, pos long"))
+    parts = scratch.keep(
+        wanted.groupBy("tree", "size", F.shiftright("pos", HEIGHT).alias("block"))
+        .agg(F.collect_list(F.struct("pos", "digest", "presented")).alias("leaves")))
+    own = f"transform({missing('leaves.pos', 'size')}, c -> struct(tree AS in_tree, c.level, c.pos))"
+    above = f"transform({missing('array(tree)', f'{top}L')}, c -> struct({TOP}L AS in_tree, c.level, c.pos))"
+    asked = scratch.keep(parts.select("tree", "block", F.expr(f"inline(concat({own}, {above}))")))
     # level l of a tree is asked for by at most 2 ** (l - HEIGHT) partitions below it: split where few nodes are left
     nodes = manifest.nodes.select(F.col("tree").alias("in_tree"), "level", "pos", F.col("digest").alias("node"))
     counts = {r.level: r.n for r in nodes.groupBy("level").agg(F.count("*").alias("n")).collect()}
@@ -260,11 +223,20 @@ def prove(manifest: Manifest, wanted: DataFrame) -> DataFrame:
     keys = ["in_tree", "level", "pos"]
     fetched = asked.where(high).join(F.broadcast(nodes.where(high)), keys).unionByName(
         asked.where(~high).join(nodes.where(~high), keys))
-    fetched = fetched.withColumnRenamed("pos", "at")
-    done = wanted.groupBy("tree", "block").cogroup(fetched.groupBy("tree", "block")).applyInPandas(
-        _expander(top),
-        "tree long, pos long, digest string, proof_sha256 string, folded_root string")
-    return done
+    fetched = scratch.keep(fetched.groupBy("tree", "block").agg(
+        F.collect_list(F.struct("in_tree", "level", F.col("pos").alias("at"), "node")).alias("fetched")))
+    nothing = "CAST(array() AS array<struct<in_tree: bigint, level: int, at: bigint, node: string>>)"
+    joined = parts.join(fetched, ["tree", "block"], "left").select(
+        "tree", "size", "leaves", F.expr(f"filter(coalesce(fetched, {nothing}), f -> f.in_tree = tree)").alias("below"),
+        F.expr(f"map_from_entries(transform(filter(coalesce(fetched, {nothing}), f -> f.in_tree = {TOP}), "
+               "f -> struct(f.level, f.node)))").alias("above"))
+    proofs = joined.select(
+        "tree", F.expr(f"transform({_levels(f'{top}L')}, l -> coalesce(element_at(above, l), ''))").alias("above"),
+        F.expr(f"inline({expanded('leaves', 'below', 'size')})"))
+    subroot = climbed("presented", "pos", "proof")
+    return proofs.select(
+        "tree", "pos", "digest", F.expr("sha2(array_join(concat(proof, above), ''), 256)").alias("proof_sha256"),
+        F.expr(climbed(subroot, "tree", "above")).alias("folded_root"))
 
 
 def manifest_of(docs: DataFrame) -> tuple[Manifest, DataFrame]:

@@ -85,21 +85,31 @@ def test_nothing(nothing):
     assert proved(nothing) == []
 
 
-def test_multiproof_is_minimal_and_sufficient():
-    rng = random.Random(7)
+def test_multiproof_is_minimal_and_sufficient(spark):
+    rng, trees, asked = random.Random(7), {}, []
     for size in (1, 2, 3, 7, 8, 13, 64, 100):
-        nodes = levels([H(str(i)) for i in range(size)])
-        for _ in range(10):
-            wanted = rng.sample(range(size), rng.randint(1, min(size, 9)))
-            coordinates = merkle.missing(wanted, size)
-            assert len(set(coordinates)) == len(coordinates)
-            known = {(0, p) for p in wanted}
-            for level in range(len(nodes) - 1):  # nothing that the wanted leaves yield is fetched
-                assert not {c for c in coordinates if c[0] == level} & {k for k in known if k[0] == level}
-                known |= {(level + 1, p // 2) for at, p in known if at == level}
-            fetched = {(level, p): nodes[level][p] for level, p in coordinates}
-            proofs = merkle.expand({p: nodes[0][p] for p in wanted}, fetched, size)
-            assert all(merkle.climb(nodes[0][p], p, proof) == nodes[-1][0] for p, proof in proofs.items())
+        trees[size] = levels([H(str(i)) for i in range(size)])
+        asked += [(size, rng.sample(range(size), rng.randint(1, min(size, 9)))) for _ in range(6)]
+    rows = spark.createDataFrame(asked, "size long, wanted array<long>").coalesce(1)
+    found = rows.select("size", "wanted", F.expr(merkle.missing("wanted", "size")).alias("missing")).collect()
+    given = []
+    for size, wanted, coordinates in found:
+        nodes, coordinates = trees[size], [tuple(c) for c in coordinates]
+        assert len(set(coordinates)) == len(coordinates)
+        known, needed = {(0, p) for p in wanted}, set()
+        for level in range(len(nodes) - 1):  # nothing that the wanted leaves yield is fetched, and all else that is needed
+            here = {p for at, p in known if at == level}
+            needed |= {(level, p ^ 1) for p in here if p ^ 1 < len(nodes[level]) and p ^ 1 not in here}
+            known |= {(level + 1, p // 2) for p in here}
+        assert set(coordinates) == needed
+        given.append((size, [(p, nodes[0][p], nodes[0][p]) for p in wanted],
+                      [(level, p, nodes[level][p]) for level, p in coordinates]))
+    proofs = spark.createDataFrame(
+        given, "size long, leaves array<struct<pos: long, digest: string, presented: string>>, "
+        "fetched array<struct<level: int, at: long, node: string>>").coalesce(1).select(
+        "size", F.expr(f"inline({merkle.expanded('leaves', 'fetched', 'size')})")).select(
+        "size", F.expr(merkle.climbed("digest", "pos", "proof")).alias("root"))
+    assert all(r.root == trees[r.size][-1][0] for r in proofs.collect())
 
 
 def test_proofs_for_some_rows_only(spark, docs, rows, small):
