@@ -41,6 +41,7 @@ SLICE_ROWS = 2_000_000
 BIN = 1e-3  # width of the bins in which the calibration counts its texts
 MOST_BINS = 20_000  # on either side of 0; beyond, differences count alike
 THRESHOLD = 0.3
+BROADCAST_LABELS = 2_000_000  # rows of an id and a label
 START, END = "\x02", "\x03"
 PIECE = 1 << 20  # code points of a text whose words are listed at once
 CACHED_WORDS = 200_000  # words that a task remembers
@@ -109,7 +110,7 @@ def _context(gram: str = "gram") -> Column:
     return F.substring(F.col(gram), F.lit(1), F.length(gram) - 1)
 
 
-def shared_model(grams: DataFrame, order: int = ORDER) -> DataFrame:
+def shared_model(grams: DataFrame, scratch: Scratch, order: int = ORDER) -> DataFrame:
     """``(gram, shared)``: what the shared lower model gives the last letter of every known gram.
 
     The model of length k counts the different letters before each gram of length k, and passes its
@@ -117,7 +118,7 @@ def shared_model(grams: DataFrame, order: int = ORDER) -> DataFrame:
     """
     level, levels = grams.select("gram").distinct(), []
     for _ in range(order - 1):
-        level = level.groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n"))
+        level = scratch.keep(level.groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n")))
         levels.append(level)
     lowest = 1.0 / (levels[-1].count() + 1)
     below = None
@@ -137,8 +138,8 @@ def shared_model(grams: DataFrame, order: int = ORDER) -> DataFrame:
         "gram", "shared")
 
 
-def differences(grams: DataFrame, order: int = ORDER) -> DataFrame:
-    """``(context, letter, delta)`` from ``(gram, toxic, n)``.
+def differences(grams: DataFrame, scratch: Scratch, order: int = ORDER) -> DataFrame:
+    """A stored table ``(context, letter, delta)`` from ``(gram, toxic, n)``.
 
     ``delta`` is the toxic minus the ordinary log probability of the letter after the context. The row
     with a null letter is for letters that neither class has seen there: the shared model cancels out.
@@ -146,7 +147,7 @@ def differences(grams: DataFrame, order: int = ORDER) -> DataFrame:
     """
     both = grams.groupBy("gram").agg(*[
         F.sum(F.when(F.col("toxic") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in (0, 1)])
-    both = both.withColumn("context", _context())
+    both = scratch.keep(both.withColumn("context", _context()))
     sums = both.groupBy("context").agg(
         *[F.sum(f"n{k}").alias(f"total{k}") for k in (0, 1)],
         *[F.sum((F.col(f"n{k}") > 0).cast("long")).alias(f"kinds{k}") for k in (0, 1)])
@@ -160,11 +161,11 @@ def differences(grams: DataFrame, order: int = ORDER) -> DataFrame:
         own = F.when(total > 0, F.greatest(F.col(f"n{k}") - DISCOUNT, F.lit(0.0)) / total).otherwise(0.0)
         return own + freed(k) * F.col("shared")
 
-    seen = both.join(sums, "context").join(shared_model(grams, order), "gram").select(
+    seen = both.join(sums, "context").join(shared_model(both, scratch, order), "gram").select(
         "context", F.expr("right(gram, 1)").alias("letter"), (F.log(probability(1)) - F.log(probability(0))).alias("delta"))
     other = sums.select("context", F.lit(None).cast("string").alias("letter"),
                         (F.log(freed(1)) - F.log(freed(0))).alias("delta"))
-    return seen.unionByName(other)
+    return scratch.keep(seen.unionByName(other))
 
 
 def _keys(points: np.ndarray) -> np.ndarray:
@@ -324,8 +325,10 @@ def score(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     docs = docs.drop("held_out", "score", "predicted")
     judged = docs.select(F.struct("*").alias("given"), "doc_id", "text")
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
-        (F.max("toxic") > 0).cast("int").alias("toxic"))
+    known = scratch.keep(labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
+        (F.max("toxic") > 0).cast("int").alias("toxic")))
+    if known.count() <= BROADCAST_LABELS:  # texts then stay where they are; beyond, both sides are shuffled
+        known = F.broadcast(known)
     own = fold(F.col("doc_id"))
     labelled = docs.select("doc_id", "text").where(own != KEEP_OUT).join(known, "doc_id").select(
         "text", "toxic", own.alias("fold"))
@@ -335,8 +338,8 @@ def score(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
     if len(totals) == 2:
         counted = scratch.keep(vocabulary(labelled))
         grams = scratch.keep(ngrams(counted, order))
-        first = scratch.keep(differences(grams.where(F.col("fold") != CALIBRATION), order))
-        model = scratch.keep(differences(grams, order))
+        first = differences(grams.where(F.col("fold") != CALIBRATION), scratch, order)
+        model = differences(grams, scratch, order)
         fit = _calibrate(with_worst(labelled.where(F.col("fold") == CALIBRATION), first, order))
         # a corpus so small that its calibration part has no text is judged by the curve of all learned rows
         offset, slope = fit or _calibrate(with_worst(labelled, model, order)) or (math.log(share / (1 - share)), 0.0)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kgweave.llm import queries, toxicity
-from kgweave.llm.tables import documents
+from kgweave.llm.tables import Scratch, documents
 
 LABELS = "doc_id long, toxic int"
 
@@ -39,7 +39,8 @@ def brute(counts: dict, order: int, discount: float) -> dict:
 def test_model_against_its_definition(spark):
     texts = [("bad worse bad!", 1, 0), ("good goods bad", 0, 0), ("Good été", 0, 1), ("worst", 1, 1)]
     rows = spark.createDataFrame(texts, "text string, toxic int, fold int")
-    got = {(r.context, r.letter): r.delta for r in toxicity.differences(toxicity.ngrams(toxicity.vocabulary(rows))).collect()}
+    got = {(r.context, r.letter): r.delta for r in toxicity.differences(
+        toxicity.ngrams(toxicity.vocabulary(rows)), Scratch(spark)).collect()}
     counts = {}
     for text, toxic, _ in texts:
         for some in toxicity.words(text):
@@ -88,6 +89,8 @@ def test_slices_pieces_and_forgetting_give_the_same_scores(spark, monkeypatch):
     docs = spark.createDataFrame(rows + [(1000, "ka" * 50 + " " + "lorit été-" * 3000)], "doc_id long, text string")
     score = lambda: {r.doc_id: r.score for r in toxicity.score(docs, spark.createDataFrame(labels, LABELS)).collect()}
     whole = score()
+    monkeypatch.setattr(toxicity, "BROADCAST_LABELS", 0)
+    assert score() == pytest.approx(whole, abs=1e-9)
     monkeypatch.setattr(toxicity, "SLICE_ROWS", 60)
     assert score() == pytest.approx(whole, abs=1e-9)
     monkeypatch.setattr(toxicity, "CACHED_WORDS", 5)
