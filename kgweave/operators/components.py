@@ -12,9 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgweave.functions.terms import SAME_AS
+from kgweave.functions.terms import SAME_AS, TRIPLE
 from kgweave.plans.skew import join_counted
-from kgweave.plans.workspace import BROADCAST_ROWS, Stored, store
+from kgweave.plans.workspace import BROADCAST_ROWS, Stored, store, union_all
 
 
 def _link_to_least(edges: Stored, both_ways: bool) -> DataFrame:
@@ -123,3 +123,19 @@ def canonical_terms(graph: DataFrame, components: DataFrame) -> DataFrame:
             (F.col("s2").isNotNull() | F.col("o2").isNotNull()).alias("changed"),
         )
     )
+
+
+def moved_triples(graph: DataFrame, changed: Stored, components: Stored) -> DataFrame:
+    """The triples about changed(node, canonical), moved onto the canonical subject and object.
+
+    All other triples stay where they are: the changed nodes are the small side of both joins.
+    """
+    nodes = changed.df.select("node")
+    about = union_all([
+        graph.join(changed.side(nodes.withColumnRenamed("node", end)), end, "left_semi").select(*TRIPLE)
+        for end in ("s", "o")])
+    every = components.side(components.df.where(F.col("node") != F.col("canonical")))
+    for end in ("s", "o"):
+        about = about.join(every.select(F.col("node").alias(end), F.col("canonical").alias("to")), end, "left").withColumn(
+            end, F.coalesce("to", end)).drop("to")
+    return about.select(*TRIPLE)

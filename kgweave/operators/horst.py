@@ -22,7 +22,11 @@ from kgweave.operators.schema import (
     Effects, Hierarchy, apply_class_effects, apply_property_effects, close_hierarchy,
     compile_effects,
 )
-from kgweave.plans.workspace import FactTable, Stored, run_to_fixpoint, store, union_all
+from kgweave.plans.triples import TripleTable
+from kgweave.plans.workspace import Stored, run_to_fixpoint, store, union_all
+
+# Properties that a kind of rule asks for are literals in the scan up to this number.
+PUSHED = 200
 
 SCHEMA_PREDICATES = HORST_SCHEMA_PREDICATES + [
     t.ON_CLASS, t.MAX_CARDINALITY, t.MAX_QUALIFIED, t.ONE_OF,
@@ -52,6 +56,7 @@ class Terminology:
     transitive: Stored      # (p)
     functional: Stored      # (p)
     inverse_functional: Stored  # (p)
+    asked: dict[str, list[str] | None]  # kind of rule -> the properties it asks for; None if too many to list
 
 
 def restrictions(schema: DataFrame, predicate: str) -> DataFrame:
@@ -85,6 +90,12 @@ def read_terminology(graph: DataFrame, some_values=None) -> Terminology:
         .groupBy("kind").agg(F.count("*").alias("n")).collect()
     }
 
+    used = described.df.select("kind", "p").union(characteristics.where(F.col("kind").isin(SCHEMA_TYPES))).distinct()
+    listed = used.limit(PUSHED + 1).collect()
+    asked = None if len(listed) > PUSHED else {}
+    for row in listed if asked is not None else []:
+        asked.setdefault(row.kind, []).append(row.p)
+
     def part(df: DataFrame, kind: str, *columns: str) -> Stored:
         return Stored(df.where(F.col("kind") == kind).select(*columns), kinds.get(kind, 0))
 
@@ -92,9 +103,17 @@ def read_terminology(graph: DataFrame, some_values=None) -> Terminology:
         schema, hierarchy, effects,
         *[part(described.df, kind, "r", "p", "d") for kind in fillers],
         *[part(characteristics, kind, "p") for kind in (t.TRANSITIVE, t.FUNCTIONAL, t.INVERSE_FUNCTIONAL)],
+        {kind: None if asked is None else asked.get(kind, []) for kind in
+         (*fillers, t.TRANSITIVE, t.FUNCTIONAL, t.INVERSE_FUNCTIONAL)},
     )
 
 
+def new_schema(facts: TripleTable) -> bool:
+    """Whether the last round has added to the terminology."""
+    watched = SCHEMA_PREDICATES + [t.TYPE]
+    return facts.has_new(watched) and not facts.asked(watched, new=True).where(is_schema()).isEmpty()
+
+
 # --- rules ----------------------------------------------------------------------------------------
 
 def types_of(rows: DataFrame) -> DataFrame:
@@ -195,13 +214,13 @@ def equivalences(hierarchy: Hierarchy) -> DataFrame:
     )
 
 
-def same_as_pairs(graph: DataFrame, terms: Terminology) -> DataFrame:
+def same_as_pairs(facts: TripleTable, terms: Terminology) -> DataFrame:
     """Given and derived sameAs edges ``(s, o)``."""
-    parts = [graph.where(F.col("p") == t.SAME_AS).select("s", "o")]
+    parts = [facts.asked([t.SAME_AS]).select("s", "o")]
     if not terms.functional.empty:
-        parts.append(functional_pairs(graph, terms.functional))
+        parts.append(functional_pairs(facts.asked(terms.asked[t.FUNCTIONAL]), terms.functional))
     if not terms.inverse_functional.empty:
-        parts.append(inverse_functional_pairs(graph, terms.inverse_functional))
+        parts.append(inverse_functional_pairs(facts.asked(terms.asked[t.INVERSE_FUNCTIONAL]), terms.inverse_functional))
     return union_all(parts)
 
 
@@ -211,31 +230,60 @@ def reflexive_same_as(graph: DataFrame) -> DataFrame:
     return nodes.distinct().select("s", F.lit(t.SAME_AS).alias("p"), F.col("s").alias("o"))
 
 
-def instance_step(facts: FactTable, terms: Terminology) -> list[DataFrame]:
-    """What follows from the last round's triples together with all known ones."""
-    new, known = facts.delta, facts.known
-    parts = []
+def _pairings(facts: TripleTable, first: list[str] | None, second: list[str] | None) -> list[tuple]:
+    """The inputs of a rule over two triples, of which the new one may be either, and how they enter a join."""
+    if facts.first_round:
+        return [(facts.asked(first), facts.asked(second), _as_is, _as_is)]
+    found = []
+    if facts.has_new(first):
+        found.append((facts.asked(first, new=True), facts.asked(second), facts.delta_side, _as_is))
+    if facts.has_new(second):
+        found.append((facts.asked(first), facts.asked(second, new=True), _as_is, facts.delta_side))
+    return found
+
+
+def with_effects(rows: DataFrame, terms: Terminology) -> DataFrame:
+    """The rows and what each of them implies by itself.
+
+    The lookup tables are closed, so applying them to their own output again yields nothing.
+    """
+    parts = [rows]
     if not terms.effects.by_property.empty:
-        parts.append(apply_property_effects(new, terms.effects))
+        parts.append(apply_property_effects(rows, terms.effects))
     if not terms.effects.by_class.empty:
-        parts.append(apply_class_effects(new, terms.effects))
+        parts.append(apply_class_effects(rows, terms.effects))
+    return union_all(parts)
+
+
+def instance_step(facts: TripleTable, terms: Terminology) -> list[DataFrame]:
+    """What follows from the last round's triples by the rules that ``with_effects`` leaves.
+
+    Each rule reads the triples of the properties it asks for, and takes no part where none is new.
+    """
+    types, parts = [t.TYPE], []
     if not terms.has_value.empty:
-        parts += [has_value_types(new, terms.has_value), has_value_triples(new, terms.has_value)]
-    # Rules over two instance triples: the new one may be either of them.
-    if facts.first_round:
-        pairings = [(known, known, _as_is, _as_is)]
-    else:
-        pairings = [(new, known, facts.delta_side, _as_is), (known, new, _as_is, facts.delta_side)]
-    for pairing in pairings:
-        if not terms.some_values.empty:
-            parts.append(some_values_types(*pairing[:2], terms.some_values, *pairing[2:]))
-        if not terms.all_values.empty:
-            parts.append(all_values_types(*pairing[:2], terms.all_values, *pairing[2:]))
-        if not terms.transitive.empty:
-            parts.append(transitive_triples(*pairing[:2], terms.transitive, *pairing[2:]))
+        valued = terms.asked[t.HAS_VALUE]
+        if facts.has_new(types):
+            parts.append(has_value_triples(facts.asked(types, new=True), terms.has_value))
+        if facts.has_new(valued):
+            parts.append(has_value_types(facts.asked(valued, new=True), terms.has_value))
+    for rule, restricted, kind in ((some_values_types, terms.some_values, t.SOME_VALUES),
+                                   (all_values_types, terms.all_values, t.ALL_VALUES)):
+        if not restricted.empty:
+            parts += [rule(*pairing[:2], restricted, *pairing[2:])
+                      for pairing in _pairings(facts, terms.asked[kind], types)]
+    if not terms.transitive.empty:
+        chained = terms.asked[t.TRANSITIVE]
+        parts += [transitive_triples(*pairing[:2], terms.transitive, *pairing[2:])
+                  for pairing in _pairings(facts, chained, chained)]
     return parts
 
 
+def candidates(parts: list[DataFrame], terms: Terminology) -> DataFrame | None:
+    """The derived triples with their effects, the joins behind them being run once."""
+    return with_effects(store(union_all(parts).distinct()).df, terms) if parts else None
+
+
 def schema_entailments(terms: Terminology) -> DataFrame:
     return terms.hierarchy.triples().union(equivalences(terms.hierarchy))
 
@@ -250,22 +298,21 @@ def materialize_owl_horst(graph: DataFrame, reflexive: bool = False,
     """
     graph = graph.select(*TRIPLE)
     terms = read_terminology(graph)
-    facts = FactTable(graph.sparkSession, TRIPLE, large=True)
-    facts.append(graph)
+    facts = TripleTable(graph.sparkSession)
+    facts.append(with_effects(graph, terms))
     state = {"terms": terms}
 
-    def step(table: FactTable) -> DataFrame | None:
-        if not table.first_round and not table.delta.where(is_schema()).isEmpty():
-            state["terms"] = read_terminology(table.known)
-            return union_all(instance_step(AllNew(table), state["terms"])
-                             + [schema_entailments(state["terms"])])
-        parts = instance_step(table, state["terms"])
-        return union_all(parts) if parts else None
+    def step(table: TripleTable) -> DataFrame | None:
+        if not table.first_round and new_schema(table):
+            state["terms"] = terms = read_terminology(table.asked(SCHEMA_PREDICATES + [t.TYPE]))
+            found = candidates(instance_step(AllNew(table), terms) + [schema_entailments(terms)], terms)
+            return found.union(with_effects(table.known, terms))
+        return candidates(instance_step(table, state["terms"]), state["terms"])
 
     run_to_fixpoint(facts, step, max_rounds)
     terms = state["terms"]
     last = [schema_entailments(terms),
-            star_triples(connected_components(same_as_pairs(facts.known, terms)))]
+            star_triples(connected_components(same_as_pairs(facts, terms)))]
     if reflexive:
         last.append(reflexive_same_as(facts.known))
     facts.append(union_all(last))
@@ -279,6 +326,13 @@ class AllNew:
 
     first_round = True
 
-    def __init__(self, table: FactTable):
+    def __init__(self, table: TripleTable):
+        self.table = table
         self.delta = table.known
         self.known = table.known
+
+    def asked(self, predicates: list[str] | None, new: bool = False) -> DataFrame:
+        return self.table.asked(predicates)
+
+    def has_new(self, predicates: list[str] | None) -> bool:
+        return True
