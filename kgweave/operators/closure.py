@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgweave.functions.terms import TRIPLE
-from kgweave.plans.workspace import FactTable, run_to_fixpoint
+from kgweave.plans.skew import join_split
+from kgweave.plans.workspace import BROADCAST_ROWS, FactTable, run_to_fixpoint
 
 
 TINY_ROWS = 5_000
@@ -21,11 +22,16 @@ class EmptyPropertyList(ValueError):
     pass
 
 
-def compose(left: DataFrame, right: DataFrame, group: list[str]) -> DataFrame:
-    """Pairs (a, c) with (a, b) on the left and (b, c) on the right, inside the same group."""
+def compose(left: DataFrame, right: DataFrame, group: list[str], rows: int = 0) -> DataFrame:
+    """Pairs (a, c) with (a, b) on the left and (b, c) on the right, inside the same group.
+
+    ``rows`` bounds either side where both are large and stored; nodes with many links are then split.
+    """
     first = left.select(*group, F.col("s"), F.col("o").alias("mid"))
     second = right.select(*group, F.col("s").alias("mid"), F.col("o"))
-    return first.join(second, [*group, "mid"]).select(*group, "s", "o")
+    keys = [*group, "mid"]
+    joined = join_split(first, second, keys, rows) if rows else first.join(second, keys)
+    return joined.select(*group, "s", "o")
 
 
 def close_into_table(pairs: DataFrame, group: list[str], strategy: str = "doubling",
@@ -37,12 +43,13 @@ def close_into_table(pairs: DataFrame, group: list[str], strategy: str = "doubli
 
     def step(t: FactTable) -> DataFrame:
         delta = t.delta_side(t.delta)
+        rows = t.rows if t.delta_rows > BROADCAST_ROWS else 0
         if strategy == "linear" and not t.first_round:
-            return compose(delta, t.base, group)
+            return compose(delta, t.base, group, rows)
         if t.first_round:
-            found = compose(t.known, delta, group)
+            found = compose(t.known, delta, group, rows)
         else:
-            found = compose(delta, t.known, group).union(compose(t.known, delta, group))
+            found = compose(delta, t.known, group, rows).union(compose(t.known, delta, group, rows))
         if strategy == "doubling" and max_rounds is None and t.rows <= TINY_ROWS:
             # On a terminology a second doubling costs less than another round's jobs. Where rounds
             # are limited, each is one composition at every size.

@@ -23,7 +23,7 @@ from kgweave.operators.schema import (
     compile_effects,
 )
 from kgweave.plans.triples import TripleTable
-from kgweave.plans.workspace import Stored, run_to_fixpoint, store, union_all
+from kgweave.plans.workspace import BROADCAST_ROWS, Stored, run_to_fixpoint, store, union_all
 
 # Properties that a kind of rule asks for are literals in the scan up to this number.
 PUSHED = 200
@@ -57,6 +57,8 @@ class Terminology:
     functional: Stored      # (p)
     inverse_functional: Stored  # (p)
     asked: dict[str, list[str] | None]  # kind of rule -> the properties it asks for; None if too many to list
+    closed: bool   # the effects' own output has no further effects
+    extends: bool  # effects may add to the terminology
 
 
 def restrictions(schema: DataFrame, predicate: str) -> DataFrame:
@@ -105,12 +107,30 @@ def read_terminology(graph: DataFrame, some_values=None) -> Terminology:
         *[part(characteristics, kind, "p") for kind in (t.TRANSITIVE, t.FUNCTIONAL, t.INVERSE_FUNCTIONAL)],
         {kind: None if asked is None else asked.get(kind, []) for kind in
          (*fillers, t.TRANSITIVE, t.FUNCTIONAL, t.INVERSE_FUNCTIONAL)},
+        *_reach_of_effects(effects),
     )
 
 
-def new_schema(facts: TripleTable) -> bool:
-    """Whether the last round has added to the terminology."""
+def _reach_of_effects(effects: Effects) -> tuple[bool, bool]:
+    """Whether the effects are closed, and whether they may add to the terminology.
+
+    They are not closed where a property lies below rdf:type or rdf:type itself has effects: what
+    instances of a class are is a table of its own.
+    """
+    moved = F.col("action").isin("P", "I")
+    found = effects.by_property.df.agg(
+        F.count_if((F.col("p") == t.TYPE) | (moved & (F.col("target") == t.TYPE))).alias("open"),
+        F.count_if(F.when(moved, F.col("target").isin(SCHEMA_PREDICATES + [t.TYPE])).otherwise(
+            F.col("target").isin(SCHEMA_TYPES))).alias("schema")).first()
+    classes = effects.by_class.df.where(F.col("target").isin(SCHEMA_TYPES))
+    return found.open == 0, found.schema > 0 or not classes.isEmpty()
+
+
+def new_schema(facts: TripleTable, terms: Terminology) -> bool:
+    """Whether the last round has added to the terminology; after the first one, to what ``terms`` were read from."""
     watched = SCHEMA_PREDICATES + [t.TYPE]
+    if facts.first_round:
+        return terms.extends and facts.asked(watched).where(is_schema()).count() > terms.schema.rows
     return facts.has_new(watched) and not facts.asked(watched, new=True).where(is_schema()).isEmpty()
 
 
@@ -162,12 +182,12 @@ def all_values_types(links: DataFrame, members: DataFrame, all_values: Stored,
 
 
 def transitive_triples(first: DataFrame, second: DataFrame, transitive: Stored,
-                       first_side=_as_is, second_side=_as_is) -> DataFrame:
-    """rdfp4, every property on its own."""
+                       first_side=_as_is, second_side=_as_is, rows: int = 0) -> DataFrame:
+    """rdfp4, every property on its own. ``rows`` as in ``compose``."""
     side = transitive.side()
     return compose(
         first_side(first.join(side, "p", "left_semi")),
-        second_side(second.join(side, "p", "left_semi")), ["p"],
+        second_side(second.join(side, "p", "left_semi")), ["p"], rows,
     ).select(*TRIPLE)
 
 
@@ -245,7 +265,8 @@ def _pairings(facts: TripleTable, first: list[str] | None, second: list[str] | N
 def with_effects(rows: DataFrame, terms: Terminology) -> DataFrame:
     """The rows and what each of them implies by itself.
 
-    The lookup tables are closed, so applying them to their own output again yields nothing.
+    The lookup tables are closed, so applying them to their own output again yields nothing, unless
+    ``terms.closed`` is false.
     """
     parts = [rows]
     if not terms.effects.by_property.empty:
@@ -274,14 +295,21 @@ def instance_step(facts: TripleTable, terms: Terminology) -> list[DataFrame]:
                       for pairing in _pairings(facts, terms.asked[kind], types)]
     if not terms.transitive.empty:
         chained = terms.asked[t.TRANSITIVE]
-        parts += [transitive_triples(*pairing[:2], terms.transitive, *pairing[2:])
+        rows = facts.rows if facts.delta_rows > BROADCAST_ROWS else 0
+        parts += [transitive_triples(*pairing[:2], terms.transitive, *pairing[2:], rows)
                   for pairing in _pairings(facts, chained, chained)]
     return parts
 
 
-def candidates(parts: list[DataFrame], terms: Terminology) -> DataFrame | None:
-    """The derived triples with their effects, the joins behind them being run once."""
-    return with_effects(store(union_all(parts).distinct()).df, terms) if parts else None
+def candidates(parts: list[DataFrame], facts: TripleTable, terms: Terminology) -> DataFrame | None:
+    """The derived triples with their effects, the joins behind them being run once.
+
+    Where effects are not closed, those of the last round's triples are taken again.
+    """
+    found = [with_effects(store(union_all(parts).distinct()).df, terms)] if parts else []
+    if not terms.closed:
+        found.append(with_effects(facts.delta, terms))
+    return union_all(found) if found else None
 
 
 def schema_entailments(terms: Terminology) -> DataFrame:
@@ -303,11 +331,11 @@ def materialize_owl_horst(graph: DataFrame, reflexive: bool = False,
     state = {"terms": terms}
 
     def step(table: TripleTable) -> DataFrame | None:
-        if not table.first_round and new_schema(table):
+        if new_schema(table, state["terms"]):
             state["terms"] = terms = read_terminology(table.asked(SCHEMA_PREDICATES + [t.TYPE]))
-            found = candidates(instance_step(AllNew(table), terms) + [schema_entailments(terms)], terms)
+            found = candidates(instance_step(AllNew(table), terms) + [schema_entailments(terms)], table, terms)
             return found.union(with_effects(table.known, terms))
-        return candidates(instance_step(table, state["terms"]), state["terms"])
+        return candidates(instance_step(table, state["terms"]), table, state["terms"])
 
     run_to_fixpoint(facts, step, max_rounds)
     terms = state["terms"]
@@ -328,6 +356,7 @@ class AllNew:
 
     def __init__(self, table: TripleTable):
         self.table = table
+        self.rows = self.delta_rows = table.rows
         self.delta = table.known
         self.known = table.known
 

@@ -9,7 +9,7 @@ from kgweave.functions import terms as t
 from kgweave.functions.terms import TRIPLE
 from kgweave.job import materialize_job
 from kgweave.operators import abstraction, axioms as ax, closure as tc, components as cc
-from kgweave.operators import dictionary, el, graph as G, horst, lists, owlrl, patterns, rdfs, rulesets
+from kgweave.operators import dictionary, el, graph as G, horst, isomorphism as iso, lists, owlrl, patterns, rdfs, rulesets
 from kgweave.operators import schema as sch, validate as val
 from kgweave.operators.backward import GoalReasoner
 from kgweave.plans.workspace import Workspace, shared_folder, store, union_all
@@ -645,6 +645,39 @@ def _(spark, sf):
     return owlrl.distinct_groups(_turn_lists(spark, sf))
 
 
+@query("different_from", f"""SELECT DISTINCT a.node AS s, {q(t.DIFFERENT_FROM)} AS p, b.node AS o
+    FROM (SELECT {sql.node('d/', 'doc_id')} AS node FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)) a
+    JOIN (SELECT {sql.node('d/', 'doc_id')} AS node FROM documents) b ON a.node <> b.node""")
+def _(spark, sf):
+    asked = table(spark, sf, "labels").where("toxic = 1").select(
+        F.concat(F.lit(ex("d/")), F.col("doc_id").cast("string")).alias("node"))
+    return owlrl.different_from(_turn_lists(spark, sf), asked)
+
+
+def _unnamed(graph, name):
+    """The catalog with blank nodes for restrictions and list cells, under names that ``name`` makes of theirs."""
+    def end(col):
+        return F.when(F.col(col).rlike(f"^{EX}(made|seat|stored|pair[0-9]|bundle[0-9])/"),
+                      F.concat(F.lit("_:"), name(F.col(col)))).otherwise(F.col(col)).alias(col)
+    return graph.select(end("s"), "p", end("o"))
+
+
+@query("same_graph", cat(
+    "SELECT * FROM (VALUES ('renamed', true), ('one member changed', false)) v(pair, same), "
+    f"(SELECT count(*) AS unnamed FROM (SELECT s FROM cat UNION SELECT o FROM cat) "
+    f"WHERE regexp_matches(s, '^{EX}(made|seat|stored|pair[0-9]|bundle[0-9])/'))"))
+def _(spark, sf):
+    graph = catalog(spark, sf)
+    first, second = _unnamed(graph, F.md5), _unnamed(graph, lambda name: F.sha2(name, 256))
+    least = second.where((F.col("p") == t.FIRST) & F.col("s").startswith("_:")).agg(F.min(F.struct(*TRIPLE)).alias("x")).select(
+        "x.*", F.lit(True).alias("least"))
+    changed = second.join(F.broadcast(least), TRIPLE, "left").select(
+        "s", "p", F.when(F.col("least"), F.lit(ex("Other"))).otherwise(F.col("o")).alias("o"))
+    unnamed = first.select(F.explode(F.array("s", "o")).alias("n")).where(F.col("n").startswith("_:")).distinct().count()
+    rows = [(pair, iso.same_graph(first, other), unnamed) for pair, other in (("renamed", second), ("one member changed", changed))]
+    return spark.createDataFrame(rows, "pair string, same boolean, unnamed long")
+
+
 # --- consistency ----------------------------------------------------------------------------------
 
 _CHECKED = [
