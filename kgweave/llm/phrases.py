@@ -243,7 +243,7 @@ def _cut(window: int):
         order = np.argsort(rows, kind="stable")
         rows, starts = rows[order], starts[order]
         out = []
-        for doc_id, row, text in zip(docs["doc_id"], docs["row"], docs["text"]):
+        for doc_id, known, row, text in zip(docs["id"], docs["known"], docs["row"], docs["text"]):
             words = words_of(text)
             gone = np.zeros(len(words), bool)
             if row in copies:
@@ -256,10 +256,8 @@ def _cut(window: int):
                     np.add.at(cover, starts[begin:end] + window, -1)
                     gone = np.cumsum(cover)[:-1] > 0
             kept = b" ".join(w for w, g in zip(words, gone) if not g) if gone.any() else b" ".join(words)
-            out.append((doc_id, len(words), int(gone.sum()), kept.decode("utf-8", "surrogatepass")))
-        result = pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept"])
-        result["doc_id"] = result["doc_id"].astype("Int64")
-        return result
+            out.append((doc_id, known, len(words), int(gone.sum()), kept.decode("utf-8", "surrogatepass")))
+        return pd.DataFrame(out, columns=["id", "known", "n_words", "n_removed", "kept"])
     return run
 
 
@@ -276,7 +274,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
     n = shuffles(spark)
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(1, total // SHARD_BYTES)
-    parts = 4 * n
+    parts = max(4 * n, shards)  # a part is one task's share of what the shards send on
     row = F.monotonically_increasing_id()
     packed = (
         docs.select("doc_id", "text", row.alias("row"))
@@ -295,11 +293,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
         .select("shard", "kind", "rows", F.array().cast("array<int>").alias("starts"),
                 F.array().cast("array<long>").alias("hashes")))
     scratch.drop(firsts)
-    texts = packed.select("shard", "row", "id", "doc_id", "text").groupBy("shard")
+    # ids are never null here, as a column of numbers with nulls would reach pandas as floating point
+    texts = packed.select("shard", "row", "id", F.col("doc_id").isNotNull().alias("known"), "text").groupBy("shard")
     beside = lambda notes, run, schema: texts.cogroup(notes.groupBy("shard")).applyInPandas(run, schema)
     reports = beside(copies, _report(window, phrase, parts),
                      "part int, shard int, hashes array<long>, twice array<boolean>")
     phrases = reports.groupBy("part").applyInPandas(_confirm, NOTE)
     found = beside(copies.unionByName(phrases), _locate(window, phrase, parts), FOUND)
     later = found.groupBy("part").applyInPandas(_order, NOTE)
-    return beside(copies.unionByName(later), _cut(window), "doc_id long, n_words long, n_removed long, kept string")
+    cut = beside(copies.unionByName(later), _cut(window), "id long, known boolean, n_words long, n_removed long, kept string")
+    return cut.select(F.when(F.col("known"), F.col("id")).alias("doc_id"), "n_words", "n_removed", "kept")

@@ -40,7 +40,8 @@ def token_files(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, b
 
     ``tokens`` are little-endian 16-bit numbers (32-bit if ``end`` does not fit). ``ids`` are those of the
     documents whose separators lie in the block, only to name results; the scan does not look at them.
-    Null and empty texts have no tokens but a separator. The vocabulary is read on the driver.
+    Null and empty texts have no tokens but a separator. Every row counts, repeated ones and null ids too;
+    other columns are not read; an empty table gives no files. The vocabulary is read on the driver.
     """
     with open(vocabulary, "rb") as file:
         ranks = docs.sparkSession.sparkContext.broadcast(file.read())
@@ -54,7 +55,7 @@ def token_files(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, b
             for at in range(0, len(batch), TEXTS):
                 texts, own = batch["text"].iloc[at:at + TEXTS], batch["doc_id"].iloc[at:at + TEXTS]
                 rest = np.concatenate([rest, *[np.array(encode(t or "") + [end], kind) for t in texts]])
-                ids += [None if pd.isna(i) else int(i) for i in own]
+                ids += [None if i is None else int(i) for i in own]
                 out = []
                 while len(rest) >= block:
                     head, rest = rest[:block], rest[block:]
@@ -66,7 +67,9 @@ def token_files(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, b
         if len(rest):
             yield pd.DataFrame([(file, number, rest.tobytes(), ids)], columns=["file", "block", "tokens", "ids"])
 
-    return docs.select("doc_id", "text").mapInPandas(write, "file int, block long, tokens binary, ids array<long>")
+    # as text, since a column of numbers with nulls would reach pandas as floating point
+    named = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    return named.mapInPandas(write, "file int, block long, tokens binary, ids array<long>")
 
 
 def _kind(end: int) -> np.dtype:

@@ -44,3 +44,9 @@ def test_few_words_many_repeats(spark, monkeypatch):
 
 def test_empty(nothing):
     assert phrases.remove_repeats(nothing).collect() == []
+
+
+def test_large_ids_beside_null_ones(spark):
+    ids = [(1 << 53) + 1, None, (1 << 53) + 3, (1 << 62) + 1]
+    got = phrases.remove_repeats(spark.createDataFrame([(i, "a b c") for i in ids], "doc_id long, text string").coalesce(1))
+    assert sorted((r.doc_id for r in got.collect()), key=str) == sorted(ids, key=str)

@@ -48,3 +48,11 @@ def test_wide_tokens(spark):
     end = 100_000
     files = spark.createDataFrame([(0, 0, np.array([1, end, 70_000, end], "<u4").tobytes())], "file int, block long, tokens binary")
     assert [r.n_tokens for r in tokens.scan(files, end=end).orderBy("ordinal").collect()] == [1, 1]
+
+
+def test_large_ids_beside_null_ones_and_nothing(spark, nothing):
+    ids = [(1 << 53) + 1, None, (1 << 53) + 3, (1 << 53) + 1]
+    docs = spark.createDataFrame([(i, "a") for i in ids], "doc_id long, text string").coalesce(1)
+    got = tokens.scan(Scratch(spark).keep(tokens.token_files(docs)), keep=("ids",)).collect()
+    assert sorted((r.ids for r in got), key=str) == sorted(ids, key=str)
+    assert tokens.scan(Scratch(spark).keep(tokens.token_files(nothing)), keep=("ids",)).collect() == []
