@@ -58,14 +58,21 @@ class Trigrams:
                 self._learn(unseen[alpha])
         return np.where(self._other[points], 32, points)
 
-    def codes(self, text: str) -> np.ndarray:
-        """The trigrams of the text's letters, each run of other characters being one space."""
-        points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        points = np.concatenate(([32], self._letters(points), [32]))
-        keep = np.ones(len(points), bool)
-        keep[1:] = (points[1:] != 32) | (points[:-1] != 32)
-        points = points[keep]
-        return (points[:-2] << 42) | (points[1:-1] << 21) | points[2:]
+    def pieces(self, text: str) -> Iterator[np.ndarray]:
+        """The trigrams of the text's letters, a piece at a time; a run of other characters is one space.
+
+        The last two letters or spaces of a piece lead the next one, so the pieces' trigrams are the text's.
+        """
+        text, carried = text.lower(), np.array([32])
+        for at in range(0, len(text), PIECE):
+            points = np.frombuffer(text[at:at + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+            end = [32] if at + PIECE >= len(text) else []
+            points = np.concatenate((carried, self._letters(points), end)).astype(np.int64)
+            keep = np.ones(len(points), bool)
+            keep[1:] = (points[1:] != 32) | (points[:-1] != 32)
+            points = points[keep]
+            yield (points[:-2] << 42) | (points[1:-1] << 21) | points[2:]
+            carried = points[-2:]
 
     def vectors(self, codes: np.ndarray) -> np.ndarray:
         first, second, third = codes >> 42, codes >> 21 & 0x1FFFFF, codes & 0x1FFFFF
@@ -78,9 +85,7 @@ class Trigrams:
         total = np.zeros((len(texts) if n is None else n, self.dimensions))
         found, owners, size = [], [], 0
         for row, text in zip(rows, texts):
-            for at in range(0, len(text), PIECE):
-                # pieces overlap by two code points, so that no trigram between them is lost
-                codes = self.codes(text[max(0, at - 2):at + PIECE])
+            for codes in self.pieces(text):
                 found.append(codes)
                 owners.append(row)
                 size += len(codes)
@@ -134,7 +139,8 @@ def predict(docs: DataFrame, learned: list[tuple[str, list[float]]], dimensions:
 
     The score is the cosine, at least 0. Null texts, texts without a letter, and all texts where no
     language was learned are ``und`` with score 0. Equal cosines go to the language that comes first
-    in code point order. Rows with the same id are judged each on its own text.
+    in code point order. Rows with the same id are judged each on its own text. Very long texts are read
+    whole, in pieces. An empty table gives no rows.
     """
     docs = docs.drop("lang_pred", "score")
     names = [lang for lang, _ in learned] or [UNDETERMINED]
@@ -158,8 +164,8 @@ def predict(docs: DataFrame, learned: list[tuple[str, list[float]]], dimensions:
                     "score": np.where(none, 0.0, np.clip(cosine[np.arange(len(own)), best], 0.0, 1.0))}))
             yield pd.concat(parts) if parts else pd.DataFrame({"lang_pred": pd.Series([], dtype=object), "score": []})
 
-    judged = docs.select("*", judge(F.col("text")).alias("_judged"))
-    return judged.select(*docs.columns, "_judged.lang_pred", "_judged.score")
+    judged = docs.select(F.struct("*").alias("given"), judge(F.col("text")).alias("judged"))
+    return judged.select("given.*", "judged.lang_pred", "judged.score")
 
 
 def identify(docs: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from kgweave.llm import language
@@ -54,3 +55,20 @@ def test_pieces_count_as_the_whole():
         assert (language.Trigrams(64).bundles([text]) == whole).all()
     finally:
         language.PIECE = before
+
+
+@pytest.mark.parametrize("piece", [1, 2, 7, 100, 4999])
+def test_small_pieces_count_as_the_whole(monkeypatch, piece):
+    rng = random.Random(4)
+    text = "".join(rng.choice("abc dé 1 ... ΣΟΣ") for _ in range(3000)) + "  \n 1 " * 200 + "end"
+    whole = [language.Trigrams(64).bundles([t]) for t in (text, " " * 50, "ab")]
+    monkeypatch.setattr(language, "PIECE", piece)
+    for t, want in zip((text, " " * 50, "ab"), whole):
+        assert (language.Trigrams(64).bundles([t]) == want).all()
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(i, "abc def", "en", 1, 2) for i in range(9)],
+                                 "doc_id long, text string, lang string, judged int, _judged int")
+    got = language.identify(docs)
+    assert got.columns == [*docs.columns, "lang_pred", "score"] and got.where("judged = 1 AND _judged = 2").count() == 9
