@@ -9,7 +9,7 @@ from kgweave.functions import terms as t
 from kgweave.functions.terms import TRIPLE
 from kgweave.job import materialize_job
 from kgweave.operators import abstraction, axioms as ax, closure as tc, components as cc
-from kgweave.operators import dictionary, el, graph as G, horst, isomorphism as iso, lists, owlrl, patterns, rdfs, rulesets
+from kgweave.operators import dictionary, el, graph as G, horst, intervals, isomorphism as iso, lists, owlrl, patterns, rdfs, rulesets
 from kgweave.operators import schema as sch, validate as val
 from kgweave.operators.backward import GoalReasoner
 from kgweave.plans.workspace import Workspace, shared_folder, store, union_all
@@ -361,6 +361,17 @@ def _(spark, sf):
     return rdfs.rdfs11(catalog(spark, sf))
 
 
+@query("labels_closure", cat("SELECT s, o FROM closed", pred("edges", t.SUB_CLASS, "cat"), closure_cte("closed", "edges")))
+def _(spark, sf):
+    return intervals.label_classes(catalog(spark, sf)).pairs()
+
+
+@query("labels_types", kg_sql(f"SELECT DISTINCT x.s, x.p, c.o FROM kg x JOIN closed c ON x.o = c.s WHERE x.p = {q(TYPE)} "
+                              "AND c.s <> c.o", pred("edges", t.SUB_CLASS), closure_cte("closed", "edges")))
+def _(spark, sf):
+    return intervals.infer_types(kg(spark, sf), intervals.label_classes(kg(spark, sf)))
+
+
 @query("rdfs_axioms", kg_sql(f"SELECT DISTINCT s, p, o FROM kg UNION {sql.AXIOM_VALUES}"))
 def _(spark, sf):
     return G.union(kg(spark, sf), rdfs.rdfs_axiomatic_triples(spark))
