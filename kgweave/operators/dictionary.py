@@ -1,53 +1,99 @@
 """Terms as numbers.
 
-``encode_terms`` gives every distinct term a BIGINT and every triple three of them, so later joins
-hash and compare longs. Frequent terms, above all predicates and large classes, are looked up by
-broadcast; the counts that tell them apart come with the dictionary itself.
+A term's id is its 64-bit hash, so triples are encoded where they lie and a rerun gives the same ids. The
+dictionary is one aggregation over the graph. Terms that share a hash are found in it; all of them but the
+least get an id of their own, and only these few are looked up when triples are encoded.
+
+Decoding counts the ids of all three columns in one pass. Frequent ids are broadcast; the rows they answer
+are spread evenly through the shuffled joins that look up the others.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgweave.functions.terms import TRIPLE, is_bnode, is_literal
-from kgweave.plans.skew import join_counted
-from kgweave.plans.workspace import store
+from kgweave.plans.skew import HEAVY_SHARE
+from kgweave.plans.workspace import BROADCAST_ROWS, Stored, store, union_all
+
+
+def _counted(rows: DataFrame, name: str) -> DataFrame:
+    """``(name, n_s, n_p, n_o)``: how often each term or id is subject, predicate and object."""
+    places = rows.select(F.explode(F.array(*[
+        F.struct(F.col(c).alias(name), F.lit(c).alias("place")) for c in TRIPLE
+    ])).alias("e")).select("e.*")
+    return places.groupBy(name).agg(*[
+        F.count(F.when(F.col("place") == c, 1)).alias(f"n_{c}") for c in TRIPLE
+    ])
+
 
+def _own_ids(named: Stored, hashed: Callable[..., Column]) -> Stored:
+    """``(term, own)``: new ids for all terms of a shared id but the least, none of them taken."""
+    least = named.df.groupBy("id").agg(F.min("term").alias("least"), F.count("*").alias("n")).where(F.col("n") > 1)
+    waiting = store(named.df.join(least, "id").where(F.col("term") != F.col("least")).select("term"))
+    settled, tries = [waiting.df.select("term", F.lit(0).cast("long").alias("own")).where("false")], 0
+    while not waiting.empty:
+        tries += 1
+        tried = waiting.df.select("term", hashed(F.lit(tries), F.col("term")).alias("own"))
+        free = tried.join(named.df.select(F.col("id").alias("own")), "own", "left_anti")
+        free = free.join(union_all(settled).select("own"), "own", "left_anti")
+        found = store(free.groupBy("own").agg(F.min("term").alias("term")).select("term", "own"))
+        settled.append(found.df)
+        waiting = store(waiting.df.join(found.side(), "term", "left_anti"))
+    return store(union_all(settled))
 
-def encode_terms(graph: DataFrame) -> tuple[DataFrame, DataFrame]:
+
+def encode_terms(graph: DataFrame, hashed: Callable[..., Column] = F.xxhash64) -> tuple[DataFrame, DataFrame]:
     """``(s, p, o)`` of ids, and the dictionary ``(id, term, kind, n_s, n_p, n_o)``.
 
     ``kind`` is 0 for IRIs, 1 for blank nodes and 2 for literals, so a literal test on encoded
-    triples joins kinds, not texts. Ids are unique but not consecutive.
+    triples joins kinds, not texts. Ids are unique, neither consecutive nor in order. ``hashed`` makes
+    a BIGINT of columns. Triples with a null are passed over, repeated ones are kept.
     """
-    graph = store(graph.select(*TRIPLE))
-    places = graph.df.select(F.explode(F.array(*[
-        F.struct(F.col(c).alias("term"), F.lit(c).alias("place")) for c in TRIPLE
-    ])).alias("e")).select("e.*")
-    counts = places.groupBy("term").agg(*[
-        F.count(F.when(F.col("place") == c, 1)).alias(f"n_{c}") for c in TRIPLE
-    ])
+    graph = graph.select(*TRIPLE).dropna()
     kind = F.when(is_literal(F.col("term")), 2).when(is_bnode(F.col("term")), 1).otherwise(0)
-    dictionary = store(counts.select(
-        F.monotonically_increasing_id().alias("id"), "term", kind.cast("tinyint").alias("kind"),
-        *[f"n_{c}" for c in TRIPLE],
-    )).df
-    encoded = graph.df
+    named = store(_counted(graph, "term").select(
+        hashed(F.col("term")).alias("id"), "term", kind.cast("tinyint").alias("kind"), *[f"n_{c}" for c in TRIPLE]))
+    moved = _own_ids(named, hashed)
+    if moved.empty:
+        return graph.select(*[hashed(F.col(c)).alias(c) for c in TRIPLE]), named.df
+    dictionary = store(
+        named.df.join(moved.side(), "term", "left")
+        .withColumn("id", F.coalesce("own", "id")).select(*named.df.columns))
+    encoded = graph
     for c in TRIPLE:
-        lookup = dictionary.where(F.col(f"n_{c}") > 0).select(
-            F.col("term").alias(c), F.col("id").alias(f"{c}_id"), F.col(f"n_{c}").alias("n"))
-        encoded = join_counted(encoded, lookup, [c], graph.rows).drop(c, "n")
-        encoded = encoded.withColumnRenamed(f"{c}_id", f"{c}_")
-    return encoded.select(*[F.col(f"{c}_").alias(c) for c in TRIPLE]), dictionary
+        encoded = (
+            encoded.join(moved.side(moved.df.select(F.col("term").alias(c), "own")), c, "left")
+            .withColumn(f"{c}_", F.coalesce("own", hashed(F.col(c)))).drop("own"))
+    return encoded.select(*[F.col(f"{c}_").alias(c) for c in TRIPLE]), dictionary.df
 
 
 def decode_terms(encoded: DataFrame, dictionary: DataFrame) -> DataFrame:
-    ids = store(encoded)
+    """Triples of terms; rows with an id that the dictionary does not have are left out."""
+    ids = store(encoded.select(*TRIPLE))
+    lookup = store(_counted(ids.df, "id").join(dictionary.select("id", "term"), "id"))
+    limit = max(1, ids.rows // HEAVY_SHARE)
     result = ids.df
-    for c in TRIPLE:
-        counts = ids.df.groupBy(c).agg(F.count("*").alias("n"))
-        lookup = store(counts.join(dictionary.select(F.col("id").alias(c), "term"), c)).df
-        result = join_counted(result, lookup, [c], ids.rows).drop(c, "n")
-        result = result.withColumnRenamed("term", f"{c}_")
-    return result.select(*[F.col(f"{c}_").alias(c) for c in TRIPLE])
+    small = lookup.rows <= BROADCAST_ROWS
+    for c in TRIPLE:  # at most HEAVY_SHARE ids of a column are frequent
+        known = lookup.df if small else lookup.df.where(F.col(f"n_{c}") > limit)
+        result = result.join(F.broadcast(known.select(F.col("id").alias(c), F.col("term").alias(f"{c}_"))), c, "left")
+    if not small:
+        rare = lookup.df.agg(*[F.count(F.when(F.col(f"n_{c}").between(1, limit), 1)).alias(c) for c in TRIPLE]).first()
+        for c in TRIPLE:
+            if rare[c]:
+                result = _look_up_rest(result, c, lookup.df.where(F.col(f"n_{c}").between(1, limit)))
+    return result.dropna(subset=[f"{c}_" for c in TRIPLE]).select(*[F.col(f"{c}_").alias(c) for c in TRIPLE])
+
+
+def _look_up_rest(rows: DataFrame, c: str, lookup: DataFrame) -> DataFrame:
+    """Fills ``c_`` where it is null; rows that have it get a key that matches nothing and spreads them evenly."""
+    done = F.col(f"{c}_").isNotNull()
+    keyed = rows.withColumn("_done", done).withColumn("_key", F.when(done, F.xxhash64(*TRIPLE)).otherwise(F.col(c)))
+    terms = lookup.select(F.lit(False).alias("_done"), F.col("id").alias("_key"), F.col("term").alias("_term"))
+    return (
+        keyed.join(terms, ["_done", "_key"], "left")
+        .withColumn(f"{c}_", F.coalesce(f"{c}_", "_term")).drop("_done", "_key", "_term"))

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgweave.functions import terms as t
 from kgweave.functions.terms import TRIPLE
+from kgweave.plans.workspace import store
 
 # Predicates whose triples belong to the terminology, and classes whose instances do.
 TERMINOLOGICAL_PREDICATES = [
@@ -193,3 +194,22 @@ def multi_map(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy(F.col("s").alias("key")).agg(
         F.sort_array(F.collect_set("o")).alias("values")
     )
+
+
+def multi_map_chunks(pairs: DataFrame, size: int = 10_000) -> DataFrame:
+    """``(key, chunk, values)`` of any relation ``(s, o)``: each key's values once, in sorted arrays of ``size`` or fewer.
+
+    Values of a key with more than ``size`` are dealt over groups by their hash before they are counted
+    off, so no task and no row holds them all. ``chunk`` is 0 for keys that need one only; it is not consecutive.
+    """
+    distinct = store(pairs.select(F.col("s").alias("key"), F.col("o").alias("value")).where("value IS NOT NULL").distinct())
+    large = store(distinct.df.groupBy("key").agg(F.ceil(F.count("*") / size).alias("groups")).where(F.col("groups") > 1))
+    marks = large.side(large.df.select(F.col("key").alias("_key"), "groups"))
+    dealt = distinct.df.join(marks, F.col("key").eqNullSafe(F.col("_key")), "left").select(
+        "key", "value", F.coalesce(F.pmod(F.xxhash64("value"), "groups"), F.lit(0)).alias("group"))
+    ahead = Window.partitionBy("key", "group").orderBy("value")
+    parts = dealt.withColumn("part", F.floor((F.row_number().over(ahead) - 1) / size))
+    return (
+        parts.groupBy("key", F.struct("group", "part").alias("place"))
+        .agg(F.array_sort(F.collect_list("value")).alias("values"))
+        .select("key", (F.shiftleft("place.group", 32) + F.col("place.part")).alias("chunk"), "values"))

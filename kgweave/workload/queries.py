@@ -216,6 +216,13 @@ def _(spark, sf):
     return G.multi_map(pairs).select("key", F.concat_ws(" ", "values").alias("vals"))
 
 
+@query("multi_map_chunks", cat(f"SELECT DISTINCT o AS key, s AS value, TRUE AS fits FROM cat WHERE p = {q(t.SUB_CLASS)}"))
+def _(spark, sf):
+    pairs = G.subject_object(catalog(spark, sf), t.SUB_CLASS).select(F.col("o").alias("s"), F.col("s").alias("o"))
+    chunks = G.multi_map_chunks(pairs, 50)
+    return chunks.select("key", F.explode("values").alias("value"), (F.size("values") <= 50).alias("fits"))
+
+
 @query("triples_sorted", kg_sql(f"SELECT s, p, o FROM kg WHERE p = {q(TYPE)} ORDER BY s, p, o"))
 def _(spark, sf):
     return G.sort_triples(kg(spark, sf).where(F.col("p") == TYPE))
