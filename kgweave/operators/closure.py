@@ -96,3 +96,16 @@ def fixpoint(df: DataFrame, step, max_rounds: int | None = None) -> DataFrame:
     table = FactTable(df.sparkSession, df.columns)
     table.append(df)
     return run_to_fixpoint(table, lambda t: step(t.known), max_rounds).known
+
+
+def fixpoint_of_new(df: DataFrame, step, max_rounds: int | None = None) -> DataFrame:
+    """``df`` united with what follows from it, where each round derives from the last round's rows only.
+
+    ``step(new, known)`` gets the rows that the last round found and all rows, these included, and must return
+    at least what follows from known rows of which one or more are new. ``new`` is marked for broadcast where
+    its counted rows allow it. ``known`` is bucketed by its columns once it is large, so a round shuffles its
+    candidates and not the relation. Duplicates may be returned; exceeding ``max_rounds`` raises.
+    """
+    table = FactTable(df.sparkSession, df.columns)
+    table.append(df)
+    return run_to_fixpoint(table, lambda t: step(t.delta_side(t.delta), t.known), max_rounds).known

@@ -301,6 +301,12 @@ def _(spark, sf):
     return tc.fixpoint(edges, lambda known: tc.compose(known, edges, []))
 
 
+@query("closure_fixpoint_new", _REFERRED_CLOSED)
+def _(spark, sf):
+    edges = _referred(spark, sf)
+    return tc.fixpoint_of_new(edges, lambda new, known: tc.compose(new, edges, []))
+
+
 @query("closure_of_predicate", kg_sql(f"SELECT s, {q(EX + 'previousTurn')} AS p, o FROM closed",
                                       pred("edges", EX + "previousTurn"), closure_cte("closed", "edges")))
 def _(spark, sf):
@@ -779,6 +785,7 @@ def _el(spark, sf):
 
 
 _COMPLEX = f"(SELECT s FROM cat WHERE p IN ({q(t.ON_PROPERTY)}, {q(t.INTERSECTION)}))"
+_PREFIX = "chr(1) || 'and-' || sha256(node || chr(31) || head || chr(31) || '2')"
 _EL = [
     ("sub", f"SELECT DISTINCT s AS c, o AS d FROM cat WHERE p = {q(t.SUB_CLASS)}"),
     ("res", f"SELECT DISTINCT a.s AS node, a.o AS r, b.o AS filler FROM cat a JOIN cat b ON a.s = b.s "
@@ -789,10 +796,12 @@ _EL = [
     pred("sp", t.SUB_PROPERTY, "cat"), closure_cte("roles", "sp"),
     ("cell", f"SELECT DISTINCT a.s AS cell, a.o AS member, b.o AS rest FROM cat a JOIN cat b ON a.s = b.s "
              f"WHERE a.p = {q(t.FIRST)} AND b.p = {q(t.REST)}"),
-    ("inter", f"SELECT i.s AS node, a.member AS m1, b.member AS m2, coalesce(c.member, '') AS m3 FROM cat i "
+    ("inter", f"SELECT i.s AS node, i.o AS head, a.member AS m1, b.member AS m2, coalesce(c.member, '') AS m3 FROM cat i "
               f"JOIN cell a ON i.o = a.cell JOIN cell b ON a.rest = b.cell LEFT JOIN cell c ON b.rest = c.cell "
               f"WHERE i.p = {q(t.INTERSECTION)}"),
     ("meets", "SELECT DISTINCT m1, m2, m3, d FROM inter JOIN sub ON node = c"),
+    ("chained", f"SELECT m1 AS c1, m2 AS c2, CASE m3 WHEN '' THEN d ELSE {_PREFIX} END AS d FROM inter JOIN sub ON node = c "
+                f"UNION SELECT {_PREFIX}, m3, d FROM inter JOIN sub ON node = c WHERE m3 <> ''"),
     ("chains", f"SELECT i.s AS q, a.member AS r1, b.member AS r2 FROM cat i JOIN cell a ON i.o = a.cell "
                f"JOIN cell b ON a.rest = b.cell WHERE i.p = {q(t.PROPERTY_CHAIN)} AND b.rest = {q(t.NIL)}"),
 ]
@@ -823,10 +832,9 @@ def _(spark, sf):
     return el.sub_properties(catalog(spark, sf))
 
 
-@query("el_intersections", cat("SELECT m1 AS c1, m2 AS c2, d FROM meets WHERE m3 = ''", *_EL))
+@query("el_intersections", cat("SELECT c1, c2, d FROM chained", *_EL))
 def _(spark, sf):
-    return el.intersection_subclasses(catalog(spark, sf)).where(
-        ~F.col("c1").startswith(el.AUXILIARY) & ~F.col("d").startswith(el.AUXILIARY))
+    return el.intersection_subclasses(catalog(spark, sf))
 
 
 @query("el_chains", cat("SELECT r1, r2, q FROM chains", *_EL))
@@ -840,12 +848,11 @@ def _(spark, sf):
     return el.cr1(axioms.below.df, axioms).distinct()
 
 
-@query("el_cr2", cat("SELECT DISTINCT a.c, m.d FROM meets m JOIN below a ON a.d = m.m1 JOIN below b ON b.c = a.c "
-                     "AND b.d = m.m2 WHERE m.m3 = ''", *_EL))
+@query("el_cr2", cat("SELECT DISTINCT a.c, m.d FROM chained m JOIN below a ON a.d = m.c1 JOIN below b ON b.c = a.c "
+                     "AND b.d = m.c2", *_EL))
 def _(spark, sf):
     axioms = _el(spark, sf)
-    rows = el.cr2(axioms.below.df, axioms.below.df, axioms).distinct()
-    return rows.where(~F.col("d").startswith(el.AUXILIARY))
+    return el.cr2(axioms.below.df, axioms.below.df, axioms).distinct()
 
 
 @query("el_cr3", cat("SELECT DISTINCT a.c, x.r, x.filler AS d FROM below a JOIN some_above x ON a.d = x.c", *_EL))
@@ -907,10 +914,11 @@ def _el_rounds(number):
     return out
 
 
-@query("el_completion", cat("SELECT c, r, d FROM k6", *_EL, *_el_rounds(6)))
+@query("el_completion", cat(
+    "SELECT c, r, d FROM k6 UNION SELECT a.c, '', m.d FROM chained m JOIN k6 a ON a.d = m.c1 JOIN k6 b ON b.c = a.c "
+    "AND b.d = m.c2 WHERE a.r = '' AND b.r = ''", *_EL, *_el_rounds(6)))
 def _(spark, sf):
-    rows = el.complete(_el(spark, sf)).known
-    return rows.where(~F.col("c").startswith(el.AUXILIARY) & ~F.col("d").startswith(el.AUXILIARY))
+    return el.complete(_el(spark, sf)).known
 
 
 _NEW_LINKS = "(SELECT c, r, d FROM k6 WHERE r <> '' EXCEPT SELECT c, r, filler FROM some_above)"

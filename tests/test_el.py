@@ -1,5 +1,8 @@
+import random
+
 from kgweave.functions import terms as t
 from kgweave.operators import el
+from kgweave.plans.workspace import store
 from tests.conftest import rows
 
 SC = t.SUB_CLASS
@@ -51,3 +54,35 @@ def test_extraction(graph):
     assert rows(el.restriction_subclasses(df)) == {("dr", "DY", "DE")}
     assert rows(el.property_chains(df)) == {("g1", "g2", "g3")}
     assert ("C2", "cr", "CD") in rows(el.restriction_superclasses(df))
+
+
+def test_saturation_against_plain_rounds(spark):
+    """A random terminology: the loop over contexts ends where applying all rules to all facts ends."""
+    rnd = random.Random(3)
+    names = [f"K{i}" for i in range(14)]
+    one = lambda: rnd.choice(names)
+    read = {
+        "below": {(one(), one()) for _ in range(14)} | {(names[0], t.NOTHING)},
+        "meets": {(one(), one(), one()) for _ in range(6)},
+        "some_below": {(rnd.choice("pqu"), one(), one()) for _ in range(5)},
+        "some_above": {(one(), rnd.choice("pqu"), one()) for _ in range(7)},
+        "roles": {("p", "q")},
+        "chains": {("p", "q", "u")},
+    }
+    columns = {"below": "c d", "meets": "c1 c2 d", "some_below": "r filler d", "some_above": "c r filler",
+               "roles": "r q", "chains": "r1 r2 q"}
+    axioms = el.Axioms(**{k: store(spark.createDataFrame(sorted(v), columns[k].split())) for k, v in read.items()})
+    s, e = set(read["below"]), set(read["some_above"])
+    while True:
+        more_s = {(c, x) for c, d in s for y, x in read["below"] if y == d}
+        more_s |= {(c, x) for c, d in s for a, b, x in read["meets"] if a == d and (c, b) in s}
+        more_s |= {(c, x) for c, r, d in e for q, f, x in read["some_below"] if q == r and (d, f) in s}
+        more_s |= {(c, t.NOTHING) for c, r, d in e if (d, t.NOTHING) in s}
+        more_e = {(c, r, f) for c, d in s for y, r, f in read["some_above"] if y == d}
+        more_e |= {(c, q, d) for c, r, d in e for p, q in read["roles"] if p == r}
+        more_e |= {(c, q, d) for c, r, m in e for n, r2, d in e for a, b, q in read["chains"]
+                   if n == m and a == r and b == r2}
+        if more_s <= s and more_e <= e:
+            break
+        s, e = s | more_s, e | more_e
+    assert rows(el.complete(axioms).known) == {(c, "", d) for c, d in s} | e
