@@ -17,6 +17,24 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_later_rounds_derive_from_new_effects_only(spark, graph, monkeypatch):
+    calls = []
+
+    def noted(facts, effects):
+        calls.append((facts.count(), effects.by_property.df.union(effects.by_class.df.select(
+            "c", F.lit(""), "target", F.lit(True))).count()))
+        return apply_effects(facts, effects)
+
+    apply_effects = rdfs.apply_effects
+    monkeypatch.setattr(rdfs, "apply_effects", noted)
+    facts = [("C", t.SUB_CLASS, "D"), ("C", t.TYPE, t.RDFS_CLASS), ("p", t.DOMAIN, "C"), *[(f"x{i}", "p", f"y{i}") for i in range(200)]]
+    got = rows(rdfs.materialize_rdfs(graph(facts), rdfs.Level.FULL))
+    assert {("x7", t.TYPE, "D"), ("y7", t.TYPE, t.RESOURCE), ("p", t.TYPE, t.PROPERTY), (t.PROPERTY, t.TYPE, t.RESOURCE)} <= got
+    compiled = max(effects for _, effects in calls)
+    assert [n for n, effects in calls[1:] if n > 200 and effects < compiled], "the whole graph meets the added effects"
+    assert len([n for n, effects in calls if n > 200 and effects == compiled]) <= 2
+
+
 def test_job_writes_compressed(spark, graph, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     nt.write_ntriples(graph([("http://a", t.TYPE, "http://C"), ("http://C", t.SUB_CLASS, "http://D")]), source, compression="gzip")
