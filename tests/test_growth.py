@@ -35,6 +35,30 @@ def test_later_rounds_derive_from_new_effects_only(spark, graph, monkeypatch):
     assert len([n for n, effects in calls if n > 200 and effects == compiled]) <= 2
 
 
+def test_pairs_of_a_list_are_not_shuffled(spark, graph):
+    cells = [f"L{i}" for i in range(40)] + [t.NIL]
+    facts = [("w", t.DISTINCT_MEMBERS, "L0"), ("m0", t.DIFFERENT_FROM, "m1"), ("m0", t.DIFFERENT_FROM, "z"),
+             *[x for i in range(40) for x in ((cells[i], t.FIRST, f"m{i}"), (cells[i], t.REST, cells[i + 1]))]]
+    asked = spark.createDataFrame([("m0",), ("m1",), ("z",), (None,)], "node string")
+    got = owlrl.different_from(graph(facts), asked)
+    before_join = plan_of(got).split("BroadcastHashJoin")[0]
+    assert "Exchange" not in before_join
+    pairs = [(s, o) for s, _, o in got.collect()]
+    want = {(a, f"m{i}") for a in ("m0", "m1") for i in range(40) if a != f"m{i}"} | {("m0", "z"), ("z", "m0")}
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want
+
+
+def test_many_asked_nodes_agree(spark, graph, monkeypatch):
+    cells = [f"L{i}" for i in range(12)] + [t.NIL]
+    facts = graph([("w", t.DISTINCT_MEMBERS, "L0"), ("m0", t.DIFFERENT_FROM, "z"),
+                   *[x for i in range(12) for x in ((cells[i], t.FIRST, f"m{i}"), (cells[i], t.REST, cells[i + 1]))]])
+    asked = spark.createDataFrame([(f"m{i}",) for i in range(6)], "node string")
+    want = rows(owlrl.different_from(facts, asked))
+    monkeypatch.setattr(owlrl, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(owlrl, "PAIRED_ROWS", 4)
+    assert rows(owlrl.different_from(facts, asked)) == want and len(want) == 6 * 11 + 1
+
+
 def test_job_writes_compressed(spark, graph, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     nt.write_ntriples(graph([("http://a", t.TYPE, "http://C"), ("http://C", t.SUB_CLASS, "http://D")]), source, compression="gzip")
