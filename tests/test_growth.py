@@ -17,6 +17,25 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_known_facts_stay_in_their_buckets(spark):
+    """However many partitions a shuffle has: a table with fewer buckets would be shuffled in every round."""
+    changed = {"spark.sql.shuffle.partitions": str(8 * spark.sparkContext.defaultParallelism + 3),
+               "spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {name: spark.conf.get(name) for name in changed}
+    try:
+        for name, value in changed.items():
+            spark.conf.set(name, value)
+        table = FactTable(spark, ["s", "o"], large=True)
+        table.append(spark.range(50).select(F.col("id").cast("string").alias("s"), F.hex("id").alias("o")))
+        new = spark.range(60).select(F.col("id").cast("string").alias("s"), F.hex("id").alias("o")).distinct()
+        joined = new.join(table.known, ["s", "o"], "left_anti")
+        assert plan_of(joined).count("Exchange hashpartitioning") == 1
+        assert joined.count() == 10
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def test_later_rounds_derive_from_new_effects_only(spark, graph, monkeypatch):
     calls = []
 
