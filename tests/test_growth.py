@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kgweave.functions import terms as t
 from kgweave.job import materialize_job
 from kgweave.operators import owlrl, rdfs
+from kgweave.plans.triples import TripleTable
 from kgweave.plans.workspace import FactTable
 from kgweave.sources import ntriples as nt
 
@@ -84,3 +85,19 @@ def test_job_writes_compressed(spark, graph, tmp_path):
     materialize_job(spark, source, out, "rdfs-simple", compression="gzip")
     assert glob.glob(f"{source}/*.gz") and glob.glob(f"{out}/*.gz")
     assert ("http://a", t.TYPE, "http://D") in rows(nt.load_ntriples(spark, out))
+
+
+def test_a_round_of_triples_is_few_files(spark):
+    """However many partitions a shuffle has: each rule opens the files of the groups that it asks for."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        table = TripleTable(spark)
+        some = spark.range(2000).select(F.concat(F.lit("x"), "id").alias("s"), F.lit("p").alias("p"), F.hex("id").alias("o"))
+        assert table.append(some) == 2000
+        assert len(table.known.inputFiles()) <= 16
+        more = spark.range(2500).select(F.concat(F.lit("x"), "id").alias("s"), F.lit("p").alias("p"), F.hex("id").alias("o"))
+        assert table.append(more) == 500 and table.append(more) == 0
+        assert table.known.count() == table.known.distinct().count() == 2500
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
