@@ -45,6 +45,7 @@ BROADCAST_LABELS = 2_000_000  # rows of an id and a label
 START, END = "\x02", "\x03"
 PIECE = 1 << 20  # code points of a text whose words are listed at once
 CACHED_WORDS = 200_000  # words that a task remembers
+LEARNED_WORDS = 10_000  # words whose n-grams are spelled out at once
 BATCH_ROWS = 1000
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -200,21 +201,27 @@ class _Judge:
         self.slices, self.order = slices, order
         self.known: dict[str, float] = {}
 
-    def _learn(self, new: list[str]) -> None:
+    def _hashed(self, new: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of the words' n-grams and of their contexts, where each word's begin, and how many it has."""
         padded = _points("".join(START * (self.order - 1) + word + END for word in new))
         letters = np.array([len(word) + 1 for word in new])
         ends = np.cumsum(letters)
-        starts = ends - letters
         at = np.arange(ends[-1]) + np.repeat(np.arange(len(new)) * (self.order - 1), letters)
         grams = padded[at[:, None] + np.arange(self.order)]
-        keys, contexts = _keys(grams), _keys(grams[:, :-1])
-        total = np.zeros(len(new))
+        return _keys(grams), _keys(grams[:, :-1]), ends - letters, letters
+
+    def _learn(self, new: list[str]) -> None:
+        # the n-grams of a few words at a time; only their hashes are kept until all slices are read
+        parts = [self._hashed(new[at:at + LEARNED_WORDS]) for at in range(0, len(new), LEARNED_WORDS)]
+        totals = [np.zeros(len(letters)) for *_, letters in parts]
         for sent in self.slices:
             seen, other = sent.value
-            total += np.add.reduceat(_found(seen, keys, _found(other, contexts, 0.0)), starts)
+            for total, (keys, contexts, starts, _) in zip(totals, parts):
+                total += np.add.reduceat(_found(seen, keys, _found(other, contexts, 0.0)), starts)
             if len(self.slices) > 1:  # let go of the slice; the next use reads it again
                 sent.__dict__.pop("_value", None)
-        self.known.update(zip(new, (total / letters).tolist()))
+        means = np.concatenate([total / letters for total, (*_, letters) in zip(totals, parts)])
+        self.known.update(zip(new, means.tolist()))
 
     def worst(self, texts: list[str | None]) -> list[float | None]:
         """The largest difference among each text's words; None without a word."""

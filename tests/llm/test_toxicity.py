@@ -1,5 +1,7 @@
 import math
 import random
+import tracemalloc
+import types
 import zlib
 from collections import Counter
 
@@ -100,6 +102,22 @@ def test_slices_pieces_and_forgetting_give_the_same_scores(spark, monkeypatch):
     assert [w for some in toxicity.words(text) for w in some] == toxicity._WORD.findall(text)
 
 
+def test_many_new_words_take_little_memory():
+    known = toxicity._packed([("abcd", 1.0), ("bcde", -0.5)], 4), toxicity._packed([("abc", 0.25)], 3)
+    new = [f"abcd{i}" for i in range(60_000)]
+    judge = toxicity._Judge([types.SimpleNamespace(value=known)], 4)
+    tracemalloc.start()
+    try:
+        judge._learn(new)
+        assert tracemalloc.get_traced_memory()[1] < 50e6
+    finally:
+        tracemalloc.stop()
+    alone = toxicity._Judge([types.SimpleNamespace(value=known)], 4)
+    for word in (new[0], new[10_000], new[-1]):
+        alone._learn([word])
+    assert len(judge.known) == len(new) and alone.known == {w: judge.known[w] for w in alone.known}
+
+
 def test_nulls_ties_repeats_clashing_names_and_empty_tables(spark):
     rows, labels = made(80)
     rows += [(rows[0][0], rows[1][1]), (None, rows[2][1]), (500, None), (501, ""), (502, "1 2 !"), (None, None)]
