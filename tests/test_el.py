@@ -86,3 +86,29 @@ def test_saturation_against_plain_rounds(spark):
             break
         s, e = s | more_s, e | more_e
     assert rows(el.complete(axioms).known) == {(c, "", d) for c, d in s} | e
+
+
+def test_a_class_in_many_intersections_is_not_spelled_out(graph, monkeypatch):
+    """What a round keeps grows with the superclasses of a class, not with the intersections that these begin."""
+    kept = []
+    append = el.Contexts.append
+
+    def noted(self, frames):
+        kept.extend(df.count() for df in frames.values())
+        append(self, frames)
+
+    monkeypatch.setattr(el.Contexts, "append", noted)
+    facts = [x for i in range(60) for x in (*meet(f"_:m{i}_", "Hub", f"K{i}"), (f"_:m{i}_", SC, f"L{i}"))]
+    facts += [x for i in range(20) for x in ((f"x{i}", SC, "Hub"), (f"x{i}", SC, f"K{i}"))]
+    subsumptions, _ = el.derived(el.read_axioms(graph(facts)))
+    assert rows(subsumptions) == {(f"x{i}", f"L{i}") for i in range(20)}
+    assert sum(kept) < 200
+
+
+def test_duplicates_are_removed_after_the_join(graph):
+    facts = graph([*some("_:r", "r", "F"), ("A", SC, "_:r"), ("A", SC, "_:r"), ("A", SC, "B"), ("A", SC, "B")])
+    found = el.restriction_superclasses(facts, el.restriction_nodes(facts).limit(5))
+    assert [tuple(r) for r in found.collect()] == [("A", "r", "F")]
+    assert [tuple(r) for r in el.atomic_subclasses(facts).collect()] == [("A", "B")]
+    plan = el.restriction_superclasses(facts, facts.selectExpr("s AS node", "p AS r", "o AS filler"))
+    assert plan._jdf.queryExecution().executedPlan().toString().count("HashAggregate") == 2
