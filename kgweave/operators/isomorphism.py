@@ -3,7 +3,9 @@
 **Colours.** Every blank node starts with the colour of its ground surroundings and takes over, round after round,
 the colours of the blank nodes around it, each link with its predicate and direction. A round adds up hashes per
 node (combined before the shuffle, links to frequent nodes stay in place), so colours depend on no name. Rounds
-end when the number of colours stands still. Different colour counts settle that the graphs differ.
+end when the number of colours stands still. Different colour counts settle that the graphs differ, already before
+the first round. Names of blank nodes are replaced by their 64-bit hashes as the graphs are read, so that long names
+are not shuffled with every triple; where two names of a graph share a hash, the names stay.
 
 **Components.** Blank nodes that are linked to each other form components; equal graphs have equally many
 components of each make. A colour is settled in its component if one node has it, or if all nodes that have it
@@ -40,6 +42,20 @@ def _lanes(value: Column) -> list[Column]:
             F.count("*").alias("rows")]
 
 
+def _short_names(graphs: list[DataFrame]) -> DataFrame:
+    """``(g, s, p, o)`` with blank nodes named by their hashes; or as they are, where these do not tell them apart."""
+    named = union_all([df.select(F.lit(g).alias("g"), *TRIPLE) for g, df in enumerate(graphs)])
+    ends = named.select("g", F.explode(F.array("s", "o")).alias("node")).where(is_blank(F.col("node"))).distinct()
+    shared = ends.groupBy("g", F.xxhash64("node").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    if not shared.isEmpty():
+        return named
+
+    def short(end: str) -> Column:
+        return F.when(is_blank(F.col(end)), F.concat(F.lit("_:"), F.base64(F.unhex(F.lpad(F.hex(F.xxhash64(end)), 16, "0"))).substr(1, 11))).otherwise(F.col(end)).alias(end)
+
+    return named.select("g", short("s"), "p", short("o"))
+
+
 def _links(triples: DataFrame) -> DataFrame:
     """``(g, node, way, p, other)``: each triple as its blank ends see it."""
     out = triples.where(is_blank(F.col("s"))).select("g", F.col("s").alias("node"), F.lit("out").alias("way"), "p", F.col("o").alias("other"))
@@ -90,21 +106,23 @@ def same_graph(first: DataFrame, second: DataFrame, max_picks: int = 100) -> boo
     nodes with the same surroundings at every distance are not interchangeable after all, or where a
     component needs more than ``max_picks`` of them singled out. Two empty graphs are the same.
     """
-    both = store(union_all([
-        df.select(F.lit(g).alias("g"), *TRIPLE).distinct() for g, df in enumerate((first, second))]))
+    both = store(_short_names([first, second]).distinct())
     named = is_blank(F.col("s")) | is_blank(F.col("o"))
     if not _as_often(both.df.where(~named), TRIPLE) or not _as_often(both.df.where(named), ["p"]):
         return False
-    around = store(_links(both.df.where(named)))
-    links = store(around.df.where(is_blank(F.col("other"))))
+    around = _links(both.df.where(named))
+    links = store(around.where(is_blank(F.col("other"))))
     ground = F.when(~is_blank(F.col("other")), F.col("other"))
     degrees = links.df.groupBy("g", F.col("other").alias("node")).agg(F.count("*").alias("n"))
-    start = around.df.groupBy("g", "node").agg(*_lanes(F.xxhash64("way", "p", ground))).select(
+    start = around.groupBy("g", "node").agg(*_lanes(F.xxhash64("way", "p", ground))).select(
         "g", "node", F.xxhash64("low", "high", "rows").alias("colour"))
     colours = store(start.join(degrees, ["g", "node"], "left").select(
         "g", "node", "colour", F.coalesce("n", F.lit(0)).alias("n")))
     if colours.empty:
         return True
+    # A round keeps apart what differs already, so counts that differ now differ at the end.
+    if not _as_often(colours.df, ["colour"]):
+        return False
     colours = _refined(colours, links)
     if not _as_often(colours.df, ["colour"]):
         return False
@@ -132,25 +150,24 @@ def same_graph(first: DataFrame, second: DataFrame, max_picks: int = 100) -> boo
         colours = _refined(store(picked.select(
             "g", "node", F.xxhash64("colour", F.coalesce("own", F.lit(False))).alias("colour"), "n")), links)
         nodes, picks = members(), picks + 1
-    made = _made(nodes.df)
-    coloured = nodes.df.join(made, ["g", "comp"]).select("g", "node", "make", "colour")
-    names = both.df.where(named)
+    made = store(_made(nodes.df))
+    coloured = nodes.df.join(made.side(), ["g", "comp"])
+    # A number for each colour of a make, and how many nodes of either graph have it.
+    numbers = store(coloured.groupBy("make", "colour").agg(*[
+        F.sum((F.col("g") == g).cast("long")).alias(f"all{g}") for g in (0, 1)]).withColumn("id", F.monotonically_increasing_id()))
+    ids = store(coloured.join(numbers.side(), ["make", "colour"]).select("g", "node", "id"))
+    shown = both.df.where(named)
     for end in ("s", "o"):
-        names = names.join(coloured.select("g", F.col("node").alias(end), F.col("make").alias(f"{end}_make"),
-                                           F.col("colour").alias(f"{end}_colour")), ["g", end], "left")
-    shown = names.select("g", F.coalesce("s_make", "o_make").alias("make"), "p", *[
-        F.when(F.col(f"{end}_colour").isNull(), F.col(end)).alias(end) for end in ("s", "o")], "s_colour", "o_colour")
-    triples = store(shown.groupBy("g", "make", "s", "s_colour", "p", "o", "o_colour").agg(F.count("*").alias("n")))
-    # How often each component of a make must hold the triple: once for each node of the less single of its colours.
-    shares = store(nodes.df.join(made, ["g", "comp"]).groupBy("g", "make", "colour").agg(F.count("*").alias("all")))
-    held = triples.df
+        shown = shown.join(ids.side(ids.df.select("g", F.col("node").alias(end), F.col("id").alias(f"{end}_id"))), ["g", end], "left")
+    shown = shown.select("g", "p", "s_id", "o_id", *[
+        F.when(F.col(f"{end}_id").isNull(), F.col(end)).alias(end) for end in ("s", "o")])
+    held = shown.groupBy("s", "s_id", "p", "o", "o_id").agg(*[F.sum((F.col("g") == g).cast("long")).alias(f"n{g}") for g in (0, 1)])
+    # Each component of a make must hold the triple once for each node of the less single of its colours.
     for end in ("s", "o"):
-        held = held.join(shares.df.select("g", "make", F.col("colour").alias(f"{end}_colour"), F.col("all").alias(f"{end}_all")),
-                         ["g", "make", f"{end}_colour"], "left")
-    uneven = held.where(F.col("n") != F.greatest("s_all", "o_all"))
-    equal = uneven.isEmpty() and triples.df.groupBy("make", "s", "s_colour", "p", "o", "o_colour").agg(
-        F.sum(F.when(F.col("g") == 0, F.col("n")).otherwise(-F.col("n"))).alias("more")).where("more <> 0").isEmpty() \
-        and _as_often(made, ["make"])
+        held = held.join(numbers.side(numbers.df.select(F.col("id").alias(f"{end}_id"), *[
+            F.col(f"all{g}").alias(f"{end}_all{g}") for g in (0, 1)])), f"{end}_id", "left")
+    uneven = (F.col("n0") != F.col("n1")) | (F.col("n0") != F.greatest("s_all0", "o_all0")) | (F.col("n1") != F.greatest("s_all1", "o_all1"))
+    equal = held.where(uneven).isEmpty() and _as_often(made.df, ["make"])
     if not equal and picks:
         raise Undecided("nodes with the same surroundings are not interchangeable")
     return equal
