@@ -4,8 +4,9 @@ A term's id is its 64-bit hash, so triples are encoded where they lie and a reru
 dictionary is one aggregation over the graph. Terms that share a hash are found in it; all of them but the
 least get an id of their own, and only these few are looked up when triples are encoded.
 
-Decoding counts the ids of all three columns in one pass. Frequent ids are broadcast; the rows they answer
-are spread evenly through the shuffled joins that look up the others.
+The dictionary says how often a term is subject, predicate and object. Decoding broadcasts the frequent ones; the
+rows they answer are spread evenly through the shuffled joins that look up the others. Predicates come last, so
+that their text is not shuffled.
 """
 
 from __future__ import annotations
@@ -32,8 +33,11 @@ def _counted(rows: DataFrame, name: str) -> DataFrame:
 
 def _own_ids(named: Stored, hashed: Callable[..., Column]) -> Stored:
     """``(term, own)``: new ids for all terms of a shared id but the least, none of them taken."""
-    least = named.df.groupBy("id").agg(F.min("term").alias("least"), F.count("*").alias("n")).where(F.col("n") > 1)
-    waiting = store(named.df.join(least, "id").where(F.col("term") != F.col("least")).select("term"))
+    shared = store(named.df.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("id"))
+    if shared.empty:
+        return Stored(named.df.select("term", F.col("id").alias("own")).where("false"), 0)
+    least = named.df.join(shared.side(), "id", "left_semi").groupBy("id").agg(F.min("term").alias("least"))
+    waiting = store(named.df.join(shared.side(least), "id").where(F.col("term") != F.col("least")).select("term"))
     settled, tries = [waiting.df.select("term", F.lit(0).cast("long").alias("own")).where("false")], 0
     while not waiting.empty:
         tries += 1
@@ -73,19 +77,15 @@ def encode_terms(graph: DataFrame, hashed: Callable[..., Column] = F.xxhash64) -
 
 def decode_terms(encoded: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Triples of terms; rows with an id that the dictionary does not have are left out."""
-    ids = store(encoded.select(*TRIPLE))
-    lookup = store(_counted(ids.df, "id").join(dictionary.select("id", "term"), "id"))
-    limit = max(1, ids.rows // HEAVY_SHARE)
-    result = ids.df
-    small = lookup.rows <= BROADCAST_ROWS
-    for c in TRIPLE:  # at most HEAVY_SHARE ids of a column are frequent
-        known = lookup.df if small else lookup.df.where(F.col(f"n_{c}") > limit)
-        result = result.join(F.broadcast(known.select(F.col("id").alias(c), F.col("term").alias(f"{c}_"))), c, "left")
-    if not small:
-        rare = lookup.df.agg(*[F.count(F.when(F.col(f"n_{c}").between(1, limit), 1)).alias(c) for c in TRIPLE]).first()
-        for c in TRIPLE:
-            if rare[c]:
-                result = _look_up_rest(result, c, lookup.df.where(F.col(f"n_{c}").between(1, limit)))
+    result, known = encoded.select(*TRIPLE), Stored(dictionary, dictionary.count())
+    small = known.rows <= BROADCAST_ROWS
+    limits = {} if small else dictionary.agg(*[F.greatest(F.lit(1), F.floor(F.sum(f"n_{c}") / HEAVY_SHARE)).alias(c) for c in TRIPLE]).first()
+    for c in ("s", "o", "p"):
+        frequent = dictionary if small else dictionary.where(F.col(f"n_{c}") > limits[c])  # at most HEAVY_SHARE ids
+        names = frequent.select(F.col("id").alias(c), F.col("term").alias(f"{c}_"))
+        result = result.join(F.broadcast(names), c, "left")
+        if not small:
+            result = _look_up_rest(result, c, dictionary.where(F.col(f"n_{c}") <= limits[c]))
     return result.dropna(subset=[f"{c}_" for c in TRIPLE]).select(*[F.col(f"{c}_").alias(c) for c in TRIPLE])
 
 

@@ -38,3 +38,14 @@ def test_f17_other_ground_facts_end_before_colours_are_refined(graph, monkeypatc
     assert iso.same_graph(graph(first), graph([("_:c", "p", "_:d"), ("_:d", "p", "x")]))
     names = {n for r in iso._short_names([graph(first)]).collect() for n in (r.s, r.o) if n.startswith("_:")}
     assert len(names) == 2 and max(map(len, names)) == 13
+
+
+def test_f22_encoding_without_shared_ids_sorts_no_names(spark, graph, monkeypatch):
+    given, calls = graph([(f"s{i}", "p", f"o{i % 3}") for i in range(20)]), []
+    stored = dictionary.store
+    monkeypatch.setattr(dictionary, "store", lambda df: calls.append(df) or stored(df))
+    encoded, terms = dictionary.encode_terms(given)
+    assert len(calls) == 2 and not [line for df in calls for line in _plan(df) if "SortAggregate" in line]
+    calls.clear()
+    assert Counter(map(tuple, dictionary.decode_terms(encoded, terms).collect())) == Counter(map(tuple, given.collect()))
+    assert calls == []  # ids are neither written nor counted again
