@@ -40,6 +40,18 @@ def test_f17_other_ground_facts_end_before_colours_are_refined(graph, monkeypatc
     assert len(names) == 2 and max(map(len, names)) == 13
 
 
+def test_f25_reasons_become_classes_after_the_shuffle(graph):
+    data = [("x", "p", "y"), ("x", "p", '"l"'), ("p", t.DOMAIN, "A"), ("p", t.DOMAIN, "B"), ("p", t.RANGE, "C"), (t.TYPE, t.SUB_PROPERTY, "kind"),
+            ("w", t.TYPE, "A"), ("A", t.TYPE, t.RDFS_CLASS), (t.TYPE, t.RANGE, "K")]
+    got = rdfs.materialize_rdfs(graph(data + data), rdfs.Level.DEFAULT)
+    nodes = {x for s, _, o in data for x in (s, o) if not x.startswith('"')}
+    want = set(data) | {(n, t.TYPE, t.RESOURCE) for n in nodes} | {("x", t.TYPE, "A"), ("x", t.TYPE, "B"), ("y", t.TYPE, "C")} | {
+        ("w", "kind", "A"), ("A", "kind", t.RDFS_CLASS), ("A", t.TYPE, "K"), (t.RDFS_CLASS, t.TYPE, "K"),
+        ("A", t.SUB_CLASS, t.RESOURCE), ("A", t.SUB_CLASS, "A")}
+    assert Counter(map(tuple, got.collect())) == Counter(want)
+    assert "node" in "".join(line for line in _plan(got) if "Exchange hashpartitioning(node" in line)
+
+
 def test_f22_encoding_without_shared_ids_sorts_no_names(spark, graph, monkeypatch):
     given, calls = graph([(f"s{i}", "p", f"o{i % 3}") for i in range(20)]), []
     stored = dictionary.store
