@@ -40,6 +40,19 @@ def test_f17_other_ground_facts_end_before_colours_are_refined(graph, monkeypatc
     assert len(names) == 2 and max(map(len, names)) == 13
 
 
+def test_f27_f30_signatures_need_no_sort(spark, graph, monkeypatch):
+    data = [("a", t.TYPE, "C"), ("a", t.TYPE, "B"), ("a", "p", "b"), ("b", "q", "a"), ("b", "q", None), (None, "p", "b"), ("c", None, "b")]
+    data += [(f"x{i}", f"p{i:03}", "hub") for i in range(130)]
+    given = spark.createDataFrame(data, "s string, p string, o string")
+    marked = abstraction.compute_types(given)
+    assert not [line for line in _plan(marked) if "ObjectHashAggregate" in line]
+    got = {r[0]: tuple(map(tuple, r[1:])) for r in marked.collect()}
+    monkeypatch.setattr(abstraction, "MARKED", 0)
+    assert got == {r[0]: tuple(map(tuple, r[1:])) for r in abstraction.compute_types(given).collect()}
+    assert got["a"] == (("B", "C"), ("p", t.TYPE), ("q",)) or got["a"] == (("B", "C"), (t.TYPE, "p"), ("q",))
+    assert got["hub"] == ((), (), tuple(f"p{i:03}" for i in range(130))) and got["c"] == ((), (), ())
+
+
 def test_f25_reasons_become_classes_after_the_shuffle(graph):
     data = [("x", "p", "y"), ("x", "p", '"l"'), ("p", t.DOMAIN, "A"), ("p", t.DOMAIN, "B"), ("p", t.RANGE, "C"), (t.TYPE, t.SUB_PROPERTY, "kind"),
             ("w", t.TYPE, "A"), ("A", t.TYPE, t.RDFS_CLASS), (t.TYPE, t.RANGE, "K")]
