@@ -29,6 +29,27 @@ def _walk(edges):
         closed = more
 
 
+def test_f34_leaves_take_no_part_in_the_rounds(spark, monkeypatch):
+    edges = [(f"leaf{i}", f"n{i % 3}") for i in range(30)] + [("n0", "n1"), ("n1", "n2"), ("n2", "n0"), ("n2", "top")]
+    given, seen = spark.createDataFrame(edges + edges[:5], "s string, o string"), []
+    inner = closure.FactTable.append
+
+    def append(self, candidates):
+        found = inner(self, candidates)
+        seen.append(found)
+        return found
+
+    monkeypatch.setattr(closure, "TINY_ROWS", 0)
+    monkeypatch.setattr(closure.FactTable, "append", append)
+    for limit in (300_000, 0):
+        seen.clear()
+        monkeypatch.setattr(closure, "BROADCAST_ROWS", limit)
+        got = closure.close_into_table(given, [])
+        assert Counter(map(tuple, got.known.collect())) == Counter(_walk(edges)) and got.rows == len(_walk(edges))
+        assert seen[0] == 4
+    assert closure.closure(given.where("false")).count() == 0
+
+
 def test_f17_other_ground_facts_end_before_colours_are_refined(graph, monkeypatch):
     first = [("_:" + "a" * 60, "p", "_:b"), ("_:b", "p", "x")]
     rounds, refined = [], iso._refined
