@@ -50,6 +50,18 @@ def test_f34_leaves_take_no_part_in_the_rounds(spark, monkeypatch):
     assert closure.closure(given.where("false")).count() == 0
 
 
+def test_f35_rounds_by_rows_get_new_rows_only(spark):
+    edges, sizes = spark.createDataFrame([(i, i + 1) for i in range(8)], "s long, o long"), []
+
+    def step(known):
+        sizes.append(known.count())
+        return closure.compose(known, edges, [])
+
+    got = closure.fixpoint(edges, step, by_rows=True)
+    assert rows(got) == {(a, b) for a in range(9) for b in range(a + 1, 9)}
+    assert sizes == [8, 7, 6, 5, 4, 3, 2, 1]
+
+
 def test_f17_other_ground_facts_end_before_colours_are_refined(graph, monkeypatch):
     first = [("_:" + "a" * 60, "p", "_:b"), ("_:b", "p", "x")]
     rounds, refined = [], iso._refined
