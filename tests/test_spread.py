@@ -86,6 +86,19 @@ def test_f27_f30_signatures_need_no_sort(spark, graph, monkeypatch):
     assert got["hub"] == ((), (), tuple(f"p{i:03}" for i in range(130))) and got["c"] == ((), (), ())
 
 
+def test_f21_f31_f33_no_triples_are_collected_before_the_shuffle(graph):
+    data = [("A", t.SUB_CLASS, "B"), ("x", t.TYPE, "A"), ("x", t.TYPE, "A"), ("x", "p", "y"), ("x", "p", "y"), ("p", t.SUB_PROPERTY, "q"),
+            ("q", t.DOMAIN, "A"), ("p", t.RANGE, "D"), ("y", "q", '"lit"'), ("z", "r", "z2")]
+    given = graph(data)
+    types = intervals.infer_types(given, intervals.label_classes(given))
+    assert types.collect() == [("x", t.TYPE, "B")] and not _aggregates_below_exchanges(types, 2)
+    simple = rdfs.materialize_rdfs(given, rdfs.Level.SIMPLE)
+    more = {("x", "q", "y"), ("x", t.TYPE, "B"), ("y", t.TYPE, "D"), ("y", t.TYPE, "A"), ("y", t.TYPE, "B")}
+    assert Counter(map(tuple, simple.collect())) == Counter(set(data) | more)
+    closed = closure.transitive_reasoner(given, ["p"])
+    assert Counter(map(tuple, closed.collect())) == Counter(set(data))
+
+
 def test_f25_reasons_become_classes_after_the_shuffle(graph):
     data = [("x", "p", "y"), ("x", "p", '"l"'), ("p", t.DOMAIN, "A"), ("p", t.DOMAIN, "B"), ("p", t.RANGE, "C"), (t.TYPE, t.SUB_PROPERTY, "kind"),
             ("w", t.TYPE, "A"), ("A", t.TYPE, t.RDFS_CLASS), (t.TYPE, t.RANGE, "K")]
