@@ -6,7 +6,7 @@ least get an id of their own, and only these few are looked up when triples are
 
 The dictionary says how often a term is subject, predicate and object. Decoding broadcasts the frequent ones; the
 rows they answer are spread evenly through the shuffled joins that look up the others. Predicates come last, so
-that their text is not shuffled.
+that their text is not shuffled; all those in use are broadcast unless they are very many.
 """
 
 from __future__ import annotations
@@ -80,19 +80,27 @@ def decode_terms(encoded: DataFrame, dictionary: DataFrame) -> DataFrame:
     result, known = encoded.select(*TRIPLE), Stored(dictionary, dictionary.count())
     small = known.rows <= BROADCAST_ROWS
     limits = {} if small else dictionary.agg(*[F.greatest(F.lit(1), F.floor(F.sum(f"n_{c}") / HEAVY_SHARE)).alias(c) for c in TRIPLE]).first()
+    # As the dictionary may be of another graph, its counts do not tell which predicates there are.
+    used = None if small else store(encoded.select(F.col("p").alias("id")).distinct())
     for c in ("s", "o", "p"):
         frequent = dictionary if small else dictionary.where(F.col(f"n_{c}") > limits[c])  # at most HEAVY_SHARE ids
+        whole = small or (c == "p" and used.rows <= BROADCAST_ROWS)
+        if whole and not small:
+            frequent = dictionary.join(F.broadcast(used.df), "id", "left_semi")
         names = frequent.select(F.col("id").alias(c), F.col("term").alias(f"{c}_"))
         result = result.join(F.broadcast(names), c, "left")
-        if not small:
+        if not whole:
             result = _look_up_rest(result, c, dictionary.where(F.col(f"n_{c}") <= limits[c]))
     return result.dropna(subset=[f"{c}_" for c in TRIPLE]).select(*[F.col(f"{c}_").alias(c) for c in TRIPLE])
 
 
 def _look_up_rest(rows: DataFrame, c: str, lookup: DataFrame) -> DataFrame:
-    """Fills ``c_`` where it is null; rows that have it get a key that matches nothing and spreads them evenly."""
+    """Fills ``c_`` where it is null; rows that have it get a key that matches nothing and spreads them evenly.
+
+    The ids of ``c`` are the key and are not shuffled beside it; nothing asks for them afterwards.
+    """
     done = F.col(f"{c}_").isNotNull()
-    keyed = rows.withColumn("_done", done).withColumn("_key", F.when(done, F.xxhash64(*TRIPLE)).otherwise(F.col(c)))
+    keyed = rows.withColumn("_done", done).withColumn("_key", F.when(done, F.xxhash64(*rows.columns)).otherwise(F.col(c))).drop(c)
     terms = lookup.select(F.lit(False).alias("_done"), F.col("id").alias("_key"), F.col("term").alias("_term"))
     return (
         keyed.join(terms, ["_done", "_key"], "left")
